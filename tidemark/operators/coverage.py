@@ -127,10 +127,12 @@ def overlapping_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     SPAN, so that the join is on equal keys and stretches and stays linear."""
 
     def cut(df: DataFrame, s: str, e: str) -> DataFrame:
-        at = F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN))).alias("__part")
+        at = F.explode(F.sequence(F.floor(F.col("first") / SPAN).cast("bigint"), F.floor(F.col("last") / SPAN).cast("bigint"))).alias("__part")
         return df.select(*keys, F.col("first").alias(s), F.col("last").alias(e), at)
 
     both = cut(a, "a1", "a2").join(cut(b, "b1", "b2"), [*keys, "__part"]).where("a1 <= b2 and b1 <= a2")
-    low = F.greatest("a1", "b1", F.col("__part") * SPAN)
-    high = F.least("a2", "b2", F.col("__part") * SPAN + SPAN - 1)
+    kind = a.schema["first"].dataType
+    start = F.col("__part").cast(kind) * F.lit(SPAN)
+    low = F.greatest(F.col("a1"), F.col("b1"), start.cast(kind))
+    high = F.least(F.col("a2"), F.col("b2"), (start + F.lit(SPAN - 1)).cast(kind))
     return both.select(*keys, low.alias("first"), high.alias("last")).where("first <= last")

@@ -1 +1 @@
-
+"""Commit log, schemas and segment files."""
