@@ -126,11 +126,9 @@ class Model:
 
     def evidence(self, n: int, segments: list[Segment]) -> tuple[float, float]:
         """(sum of the significant segments' normalised scores, best segment's score)."""
-        if not segments:
-            return 0.0, 0.0
-        level = math.log(max(self.scale * max(n, 1), 1e-12))
-        normal = [self.rate * s.score - level for s in segments]
-        return sum(x for x in normal if x > 0) or max(normal), max(s.score for s in segments)
+        level = math.log(max(1.0, self.scale * n))
+        normal = [self.rate * s.score - level for s in segments] or [-level]
+        return sum(x for x in normal if x > 0) or max(normal), max((s.score for s in segments), default=0.0)
 
     def score(self, text: str | None) -> tuple[float, list[Segment]]:
         if self.weights is None:
@@ -160,18 +158,32 @@ def karlin_rate(values: np.ndarray, share: np.ndarray) -> float:
     return hi
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column of x is the constant."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Ridge logistic regression on standardised columns by Newton steps that are halved until the loss falls,
+    so that separable samples end in finite weights; the last weight is the constant's and is not shrunk."""
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread < 1e-12] = 1.0
+    z = np.column_stack(((x - mean) / spread, np.ones(len(x))))
+    penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((np.logaddexp(0, m) - y * m).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(z.shape[1])
+    w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        g = z.T @ (p - y) + penalty * w
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        step, now, t = np.linalg.solve(h, g), loss(w), 1.0
+        while t > 1e-6 and loss(w - t * step) > now:
+            t /= 2
+        w = w - t * step
+        if np.abs(t * step).max() < 1e-9:
             break
-    return w
+    slopes = w[:-1] / spread
+    return np.r_[slopes, w[-1] - slopes @ mean]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
@@ -228,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     x, y = [], []
     for r in rows:
         total, best = model.evidence(r["n"], [Segment(0, 0, s) for s in r["scores"]])
-        x.append((squash(total), best, 1.0))
+        x.append((squash(total), best))
         y.append(float(r["toxic"] == 1))
     # the sample holds more toxic documents than the corpus; the curve keeps the sample's rates
     model.weights = tuple(logistic(np.array(x), np.array(y)).tolist())
