@@ -30,8 +30,11 @@ from .common import SLOTS, Columns, arrow_rows, fold, slot, written
 TOXIC_DOCS, CLEAN_DOCS = 4000, 8000
 PREFIXES = (4, 5, 6)
 #: Documents of the sample that must hold a unit: one in 40 of the toxic ones, within these bounds. The
-#: prior's weight in documents, the least log-odds that count, and the drift of all other tokens.
-SUPPORT, PRIOR, LEAST, DRIFT = (3, 12), 4.0, 2.0, -0.02
+#: prior's weight in documents, and the drift of all other tokens.
+SUPPORT, PRIOR, DRIFT = (3, 12), 4.0, -0.02
+#: Least log-odds that count: from the first to the second value as the sample grows to LEAST_FULL toxic
+#: documents, since more units are tried in a larger sample.
+LEAST, LEAST_FULL = (1.7, 3.0), 500
 #: Standard errors that the log-odds are lowered by, so that few documents say little.
 CAUTION = 1.64
 THRESHOLD = 0.3
@@ -214,12 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     if not n1 or not n0:
         return Model()
     support = min(SUPPORT[1], max(SUPPORT[0], n1 // 40))
+    least = LEAST[0] + (LEAST[1] - LEAST[0]) * min(1.0, n1 / LEAST_FULL)
     counted = arrow_rows(sampled, count, "unit string, clean bigint, toxic bigint").groupBy("unit").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).where(F.col("c0") + F.col("c1") >= support)
     prior = F.lit(PRIOR) * (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
     rest = F.lit(PRIOR / (n0 + n1))  # a share of the prior that never vanishes
     toxic, clean = F.col("c1") + prior * n1 / (n0 + n1) + rest, F.col("c0") + prior * n0 / (n0 + n1) + F.lit(0.5)
     odds = F.log(toxic / (n1 + PRIOR)) - F.log(clean / (n0 + PRIOR)) - F.lit(CAUTION) * F.sqrt(1 / toxic + 1 / clean)
-    model = Model({r["unit"]: r["odds"] for r in counted.withColumn("odds", odds).where(F.col("odds") >= LEAST).select("unit", "odds").collect()})
+    model = Model({r["unit"]: r["odds"] for r in counted.withColumn("odds", odds).where(F.col("odds") >= least).select("unit", "odds").collect()})
 
     def measure(batches: Iterable[Columns]) -> Iterator[Columns]:
         for b in batches:
