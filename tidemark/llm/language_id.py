@@ -104,6 +104,8 @@ def count_contexts(texts: list[bytes], symbol: bytes, n: int, order: int) -> tup
 def train(samples: dict[str, list[str]]) -> Model:
     """Model of whole texts by language."""
     languages = tuple(sorted(k for k, v in samples.items() if v))
+    if not languages:
+        return Model((), bytes(256), 1, np.zeros(1, dtype=np.int32), np.zeros((0, 1), dtype=np.float32))
     coded = {lang: [prepared(t) for t in samples[lang]] for lang in languages}
     seen = np.bincount(np.frombuffer(b"".join(t for ts in coded.values() for t in ts) + b" ", dtype=np.uint8), minlength=256)
     alphabet = np.flatnonzero(seen)
@@ -113,24 +115,22 @@ def train(samples: dict[str, list[str]]) -> Model:
         symbol[b] = i
     symbol = bytes(symbol)
     counts = {lang: [count_contexts(coded[lang], symbol, n, k) for k in range(ORDER + 1)] for lang in languages}
-    contexts = np.unique(np.concatenate([counts[lang][ORDER][0] // n for lang in languages] or [np.empty(0, dtype=np.int64)]))
-    shorter = np.arange(n ** (ORDER - 1), dtype=np.int64)
-    used = np.unique(np.concatenate([counts[lang][ORDER - 1][0] // n for lang in languages] or [np.empty(0, dtype=np.int64)]))
-    # rows: full contexts, then those one shorter, then the empty one for all that nobody has seen
-    row = np.full(n**ORDER, len(contexts) + len(used), dtype=np.int32)
-    tail = np.full(len(shorter), len(contexts) + len(used), dtype=np.int32)
+    contexts = np.unique(np.concatenate([counts[lang][ORDER][0] // n for lang in languages]))
+    used = np.unique(np.concatenate([counts[lang][ORDER - 1][0] // n for lang in languages]))
+    # rows: full contexts, then those one shorter, then single symbols for all that nobody has seen
+    tail = (len(contexts) + len(used) + np.arange(n ** (ORDER - 1)) % n).astype(np.int32)
     tail[used] = len(contexts) + np.arange(len(used), dtype=np.int32)
-    row[:] = np.tile(tail, n)
+    row = np.tile(tail, n)
     row[contexts] = np.arange(len(contexts), dtype=np.int32)
-    suffix = [np.concatenate((contexts, used, [0]))]
-    depth = np.concatenate((np.full(len(contexts), ORDER), np.full(len(used), ORDER - 1), [0]))
+    suffix = np.concatenate((contexts, used, np.arange(n)))
+    depth = np.concatenate((np.full(len(contexts), ORDER), np.full(len(used), ORDER - 1), np.ones(n, dtype=int)))
     costs = []
     for lang in languages:
         cost = np.zeros((len(depth), n))
         spent, ruled = np.zeros(len(depth)), np.zeros((len(depth), n), dtype=bool)
         for k in range(ORDER, -1, -1):
             codes, freq = counts[lang][k]
-            at = np.where(depth >= k, suffix[0] % n**k if k else 0, -1)
+            at = np.where(depth >= k, suffix % n**k if k else 0, -1)
             table = np.zeros((len(depth), n))
             owner, sym = codes // n, codes % n
             # the contexts' rows, by sorted owner
