@@ -236,6 +236,14 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "events")
     return tuple(C.coverage(e.where(F.pmod("event_id", F.lit(2)) == k), HOUR) for k in (0, 1))
 
+# arrays, maps, JSON, collected values, ranges joined to points
+shared("array_functions", "SELECT event_type, array_agg(DISTINCT user_id ORDER BY user_id) AS users FROM {events} WHERE user_id < 40 GROUP BY event_type".replace("array_agg", "list"), "SELECT event_type, array_sort(collect_set(user_id)) AS users FROM {events} WHERE user_id < 40 GROUP BY event_type")
+shared("unnested_rows", "SELECT o_orderkey, w.word FROM {orders} o, LATERAL (SELECT unnest(string_split(o_orderpriority, '-')) AS word) w", "SELECT o_orderkey, word FROM {orders} LATERAL VIEW explode(split(o_orderpriority, '-')) AS word")
+shared("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}", "SELECT event_id, get_json_object(props, '$.k') AS k FROM {events}")
+shared("string_collected", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
+shared_ntz("join_interval", "WITH d AS (SELECT * FROM (VALUES (1, TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-05 06:00:00'), (2, TIMESTAMP_NTZ '2024-01-05 04:00:00', TIMESTAMP_NTZ '2024-01-06 00:00:00'), (3, TIMESTAMP_NTZ '2024-01-20 00:00:00', TIMESTAMP_NTZ '2024-01-21 00:00:00')) AS v(span_id, low, high)) SELECT d.span_id, e.event_id FROM {events} e JOIN d ON e.ts >= d.low AND e.ts < d.high")
+shared("ranked_shares", "SELECT user_id, n, ntile(4) OVER (ORDER BY n, user_id) AS quarter, percent_rank() OVER (ORDER BY n) AS pr, cume_dist() OVER (ORDER BY n) AS cd FROM (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id) g")
+
 
 DUCK_HALVES = ", ".join(f"{n} AS (SELECT DISTINCT event_type, (epoch_us(ts) // 3600000000)::BIGINT AS bucket FROM events WHERE event_id % 2 = {k})" for n, k in (("a", 0), ("b", 1)))
 
