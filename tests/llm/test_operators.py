@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import automaton, components, decontaminate, html_extract, language_id, packing, pii, registry, secret_scan, simhash, toxicity, vector_topk, warc
+from tidemark.llm import automaton, components, decontaminate, html_extract, language_id, near_copies, packing, pii, registry, secret_scan, simhash, toxicity, vector_topk, warc
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -289,6 +289,34 @@ def test_representatives(spark):
 
 
 # toxicity
+def near_texts(seed, groups, copies, words=120):
+    rng, out = random.Random(seed), []
+    for g in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(copies):
+            text = base[:]
+            text[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(text))
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    texts = near_texts(3, 30, 3) + near_texts(4, 1, 60)  # the last group makes cells beyond SMALL
+    want = brute_components(list(range(len(texts))), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(df).collect()} == want
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert kept == set(want.values()) and len(kept) < len(texts) / 2
+    assert near_copies.near_duplicates(edge_docs(spark)).count() == edge_docs(spark).count()
+
+
 def brute_segments(scores):
     """Ruzzo and Tompa's definition: take the best scoring stretch (shortest first), then go on to its left and right."""
 

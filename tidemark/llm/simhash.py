@@ -17,7 +17,7 @@ once each; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -164,9 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that stay: one of each component, that with its id. Rows without an id are kept."""
-    found = written(near_duplicates(docs, id_col, text_col), "components")
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """Rows of docs that stay: one of each component that find tells, that with its id. Rows without an id are kept."""
+    found = written(find(docs, id_col, text_col), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
