@@ -3,7 +3,8 @@
 All rules are compiled by subset construction and minimisation into one transition array over byte
 classes; one pass over the bytes finds the stretches with any hit. Inside such a stretch the rules' own
 automata give the leftmost non-overlapping matches, an exact check drops those that are too short, and
-byte offsets become code points.
+byte offsets become code points. A private key's span goes on over its body, beyond the stretch, to the END
+line or, without one, to the end of its base64 lines.
 
 Defined results: a null text is empty; a text without finds has zero counts, no spans and the hash of the
 empty string; equal starts are ordered by kind; rows with equal or null ids are each answered on their
@@ -27,12 +28,14 @@ from .common import Columns, arrow_rows
 
 @dataclass(frozen=True)
 class Rule:
-    """hit: the least text that makes a match possible; whole: the match; fits: the exact check of a match."""
+    """hit: the least text that makes a match possible; whole: the match; fits: the exact check of a match;
+    rest: where the secret that follows a match ends, given the bytes, the match's end and the text's."""
 
     kind: str
     hit: str
     whole: str
     fits: Callable[[bytes], bool]
+    rest: Callable[[bytes, int, int], int] | None = None
 
 
 KEYWORDS = "password|passwd|secret|token|api_?key"
@@ -48,6 +51,17 @@ def assigned(m: bytes) -> bool:
     return found is not None and len(found[1]) >= 12
 
 
+PEM_EDGE = re.compile(rb"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+#: What a key without END line goes on with: headers and base64 lines, also quoted, commented or with escaped line ends.
+PEM_LINES = re.compile(rb"""(?:(?:[\s"',>#*|]|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/=]{16,}+))*+(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\r\n\\]|\Z)|\s*+[A-Za-z0-9+/]{1,15}+={1,2}+)?""")
+
+
+def pem_end(data: bytes, at: int, end: int) -> int:
+    """End of a private key whose BEGIN line ends at at: that of its END line, or of its last base64 line."""
+    edge = PEM_EDGE.search(data, at, end)
+    return edge.end() if edge and edge[1] == b"END" else PEM_LINES.match(data, at, end).end()
+
+
 #: The first three are the base kinds; the rest are published token formats.
 RULES = (
     Rule("assign", f"(?i)({KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=\\-]", f"(?i)({KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=\\-]+", assigned),
@@ -58,7 +72,7 @@ RULES = (
     Rule("google", "AIza[A-Za-z0-9_\\-]", "AIza[A-Za-z0-9_\\-]+", at_least(39)),
     Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]", "[rs]k_(live|test)_[A-Za-z0-9]+", at_least(24)),
     Rule("jwt", "eyJ[A-Za-z0-9_\\-]+\\.eyJ", "eyJ[A-Za-z0-9_\\-]+\\.eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+", at_least(40)),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", at_least(1)),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", at_least(1), pem_end),
 )
 BASE = 3
 #: Bytes of text that one pass takes at a time.
@@ -105,7 +119,9 @@ class Secrets:
                 i = int(np.searchsorted(bounds, start, side="right"))
                 base = int(bounds[i]) - len(coded[a + i])
                 points = lambda at, i=i, base=base: at - base if len(coded[a + i]) == len(texts[a + i]) else len(data[base:at].decode("utf-8", "surrogatepass"))
-                out[a + i] += [(points(s), k, points(e)) for s, k, e in self.matches(data, start, end)]
+                for s, k, e in self.matches(data, start, end):
+                    rest = self.rules[k].rest
+                    out[a + i].append((points(s), k, points(rest(data, e, int(bounds[i])) if rest else e)))
             a = b
         for found in out:
             found.sort()
