@@ -198,6 +198,14 @@ def test_packing(spark):
     assert len(rows) == 5 + 30 and packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_kept_apart(spark):
+    texts = near_texts(5, 6, 3)
+    rows = [(i, t, "en", None, len(t)) for i, t in enumerate(texts)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, DOCS)).collect()
+    held = [(r["bin_id"], r["doc_id"] // 3) for r in packed]
+    assert len(held) == len(set(held)) == 18 and len({b for b, _ in held}) == 3
+
+
 # languages
 def test_ppm_is_a_distribution():
     m = language_id.train({"a": ["abc abd abe " * 5], "b": ["xyz xyw" * 5]})
