@@ -206,6 +206,19 @@ def test_near_copies_are_kept_apart(spark):
     assert len(held) == len(set(held)) == 18 and len({b for b, _ in held}) == 3
 
 
+def test_pieces_hold_their_text(spark):
+    import corpus_pipeline
+
+    long = "  é\n" + "".join(f"w{i} \t" for i in range(5000))
+    rows = [(1, long, "en", "a", len(long)), (2, "k [ASSIGN] z", "en", "b", 12), (None, "no id here", "en", "b", 10), (3, None, "en", "b", 0)]
+    packed = corpus_pipeline.packing_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    texts = {}
+    for r in sorted(packed, key=lambda r: r["piece"]):
+        assert len((r["text"] or "").split()) == r["n_words"] <= packing.CAPACITY
+        texts[r["doc_id"]] = texts.get(r["doc_id"], "") + (r["text"] or "")
+    assert texts == {1: long, 2: "k [ASSIGN] z", None: "no id here", 3: ""}
+
+
 # languages
 def test_ppm_is_a_distribution():
     m = language_id.train({"a": ["abc abd abe " * 5], "b": ["xyz xyw" * 5]})
