@@ -245,6 +245,13 @@ shared_ntz("join_interval", "WITH d AS (SELECT * FROM (VALUES (1, TIMESTAMP_NTZ
 shared("ranked_shares", "SELECT user_id, n, ntile(4) OVER (ORDER BY n, user_id) AS quarter, percent_rank() OVER (ORDER BY n) AS pr, cume_dist() OVER (ORDER BY n) AS cd FROM (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id) g")
 
 
+# the whole tables of four statements above that take an id prefix
+shared("union_all_types_whole", "SELECT event_type AS name FROM {events} UNION ALL SELECT o_orderstatus AS name FROM {orders}")
+shared("join_duplicate_keys_whole", "SELECT l.l_orderkey, count(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_orderkey")
+shared("decimal_cast_whole", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR(40)) AS d FROM {orders}")
+shared("array_functions_whole", "SELECT event_type, list(DISTINCT user_id ORDER BY user_id) AS users FROM {events} GROUP BY event_type", "SELECT event_type, array_sort(collect_set(user_id)) AS users FROM {events} GROUP BY event_type")
+
+
 DUCK_HALVES = ", ".join(f"{n} AS (SELECT DISTINCT event_type, (epoch_us(ts) // 3600000000)::BIGINT AS bucket FROM events WHERE event_id % 2 = {k})" for n, k in (("a", 0), ("b", 1)))
 
 
