@@ -39,12 +39,3 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted([plain(r[names.index(c)]) for c in sorted(names)] for r in found.fetchall())
     assert sorted([plain(r[c]) for c in sorted(names)] for r in df.collect()) == want
-
-
-def test_whole_tables(spark):
-    n = {t: catalog.table(spark, str(DATA), t).count() for t in ("events", "orders", "lineitem")}
-    rows = {q: catalog.QUERIES[f"{q}_whole"](spark, str(DATA)) for q in ("union_all_types", "join_duplicate_keys", "decimal_cast", "array_functions")}
-    assert rows["union_all_types"].count() == n["events"] + n["orders"] and rows["decimal_cast"].count() == n["orders"]
-    assert rows["join_duplicate_keys"].selectExpr("sum(n)").first()[0] == n["lineitem"]
-    users = {u for r in rows["array_functions"].collect() for u in r["users"]}
-    assert users == {r[0] for r in catalog.table(spark, str(DATA), "events").select("user_id").distinct().collect()}

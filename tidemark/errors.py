@@ -15,6 +15,14 @@ class LogCorruptError(StorageError):
     """The commit log can't be replayed."""
 
 
+class UnsupportedFormatError(LogCorruptError):
+    """The log has a format version or a table kind that this engine doesn't read."""
+
+
+class AlreadyExistsError(StorageError):
+    """A table is there already."""
+
+
 class EmptyTableError(TidemarkError):
     """The log holds no commit yet."""
 
@@ -35,6 +43,38 @@ class SchemaMismatchError(TidemarkError):
     """An append's schema differs from the table's beyond lossless widening."""
 
 
+class EmptySourceError(SchemaMismatchError):
+    """An append's source holds no batch or no row."""
+
+
+class IndexColumnError(SchemaMismatchError):
+    """The index or an entity column is missing or of an unfit type."""
+
+
+class SegmentError(SchemaMismatchError):
+    """Rows can't make a segment: no index value at all, an entity without one, or a null entity."""
+
+
+class CoverageError(StorageError):
+    """Coverage of the table is missing or unreadable."""
+
+
+class MissingCoverageError(CoverageError):
+    """A live segment names no coverage."""
+
+
+class OptimizeError(TidemarkError):
+    """A table can't be rewritten, or a rewrite failed its checks."""
+
+
+class RollbackError(TidemarkError):
+    """An operation failed, and so did removing what it had written; original is the first cause."""
+
+    def __init__(self, original: BaseException, failures: list[OSError]) -> None:
+        super().__init__(f"{original}; {len(failures)} file(s) could not be removed: {failures[0]}")
+        self.original, self.failures = original, failures
+
+
 class CoverageOverlapError(TidemarkError):
     """An append covers buckets that are already covered."""
 
@@ -46,7 +86,27 @@ class CoverageOverlapError(TidemarkError):
 
 
 class EntityError(TidemarkError):
-    """An entity identity is missing, unexpected, duplicated or of the wrong type."""
+    """An entity identity doesn't fit the table's entity columns."""
+
+
+class EntityNotConfiguredError(EntityError):
+    """An identity was given for a table without entity columns."""
+
+
+class MissingEntityError(EntityError):
+    """An entity column has no component in the identity."""
+
+
+class UnexpectedEntityError(EntityError):
+    """A component names no entity column."""
+
+
+class DuplicateEntityError(EntityError):
+    """A component is given twice."""
+
+
+class EntityTypeError(EntityError):
+    """A component's value is not of its column's type."""
 
 
 class RangeError(TidemarkError, ValueError):

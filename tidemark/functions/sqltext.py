@@ -39,12 +39,62 @@ def unsigned_types(sql: str) -> str:
     return "".join(out) + (held or "")
 
 
+def month_strides(sql: str) -> str:
+    """date_bin over an interval of months or years, which Spark keeps apart from days, is a function of its own."""
+    parts = [(text, word) for text, _, word in pieces(sql)]
+    out = [text for text, _ in parts]
+    for i, (_, word) in enumerate(parts):
+        if not word or word.lower() != "date_bin":
+            continue
+        ahead = [text for text, _ in parts[i + 1 :] if not text.isspace() and not text.startswith(("--", "/*"))]
+        if ahead[:1] == ["("] and len(ahead) > 2 and ahead[1].upper() == "INTERVAL":
+            stride = " ".join(ahead[2 : (ahead.index(",") if "," in ahead else len(ahead))]).upper()
+            if re.search(r"\b(MONTH|YEAR)S?\b", stride):
+                out[i] = "date_bin_months"
+    return "".join(out)
+
+
+def renamed(sql: str, names: dict[str, str]) -> str:
+    """Bare words that are an alias become its table's name; strings, quoted names and comments stay, and so does
+    what follows a dot."""
+    out, before = [], ""
+    for text, _, word in pieces(sql):
+        out.append(names.get(word.lower(), text) if word and before != "." else text)
+        before = text
+    return "".join(out)
+
+
+def ended(sql: str) -> bool:
+    """Whether a statement ends in a semicolon that is no part of a string, name or comment."""
+    last = ""
+    for text, _, _ in pieces(sql):
+        if not text.isspace() and not text.startswith(("--", "/*")):
+            last = text
+    return last == ";"
+
+
+EXPLAIN = re.compile(r"\s*EXPLAIN\s+(?:(EXTENDED|VERBOSE|CODEGEN|COST|FORMATTED|SIMPLE)\s+)?(?=SELECT\b|WITH\b|VALUES\b|\()", re.I)
+
+
+def explained(sql: str) -> tuple[str, str] | None:
+    """(mode, query) of an EXPLAIN of a query."""
+    m = EXPLAIN.match(sql)
+    if not m:
+        return None
+    mode = (m[1] or "simple").lower()
+    return {"verbose": "extended"}.get(mode, mode), sql[m.end() :]
+
+
+def prepared(sql: str) -> str:
+    return month_strides(unsigned_types(named_parameters(sql)))
+
+
 def parameters(params) -> dict:
     """Arguments by the names that named_parameters gives them."""
     if params is None:
         return {}
     if isinstance(params, dict):
         return {f"p_{str(k).lstrip('$')}": v for k, v in params.items()}
-    if isinstance(params, (str, bytes)):
-        raise TypeError("parameters are a mapping or a sequence of values")
+    if not isinstance(params, (list, tuple)):
+        raise TypeError("params are a mapping or a sequence of values")
     return {f"p_{i}": v for i, v in enumerate(params, 1)}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
-from .errors import EntityError, RangeError, TidemarkError
+from .errors import DuplicateEntityError, EntityNotConfiguredError, EntityTypeError, MissingEntityError, RangeError, TidemarkError, UnexpectedEntityError
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 U64 = 1 << 64
 SIGN = 1 << 63
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -119,17 +119,26 @@ class IndexSpec:
     def last_ordinal(self, end: Any) -> int:
         return self.ordinal(self.unit_value(end) - 1)
 
-    def identity(self, entity: dict[str, Any] | None) -> tuple | None:
-        """Ordered identity of named components."""
-        given = entity or {}
+    def identity(self, entity: Any, types: dict[str, str] | None = None) -> tuple | None:
+        """Ordered identity of named components: a mapping, or (name, value) pairs. types: logical types of the columns."""
+        pairs = list(entity.items()) if isinstance(entity, dict) else list(entity or ())
+        names = [n for n, _ in pairs]
         if not self.entities:
-            if given:
-                raise EntityError("the table has no entity columns")
+            if pairs:
+                raise EntityNotConfiguredError("the table has no entity columns")
             return None
+        if repeated := sorted({n for n in names if names.count(n) > 1}):
+            raise DuplicateEntityError(f"repeated entity component(s): {', '.join(repeated)}")
+        given = dict(pairs)
         if missing := [c for c in self.entities if given.get(c) is None]:
-            raise EntityError(f"missing entity component(s): {', '.join(missing)}")
+            raise MissingEntityError(f"missing entity component(s): {', '.join(missing)}")
         if extra := sorted(set(given) - set(self.entities)):
-            raise EntityError(f"unexpected entity component(s): {', '.join(extra)}")
+            raise UnexpectedEntityError(f"unexpected entity component(s): {', '.join(extra)}")
+        for c in self.entities if types else ():
+            v, kind = given[c], types[c]
+            low, high = {"int32": (-(1 << 31), 1 << 31), "int64": (-SIGN, SIGN), "utf8": (0, 0)}.get(kind, (0, U64))
+            if not isinstance(v, str) if kind == "utf8" else isinstance(v, bool) or not isinstance(v, int) or not low <= v < high:
+                raise EntityTypeError(f"entity component {c} is {kind}, not {v!r}")
         return tuple(given[c] for c in self.entities)
 
     def to_json(self) -> dict:
@@ -142,7 +151,8 @@ class IndexSpec:
 
 @dataclass(frozen=True)
 class SegmentMeta:
-    """One Parquet file. low and high are inclusive bounds in units; layout is none, single or mixed."""
+    """One Parquet file. low and high are inclusive bounds in units; layout is none, single or mixed; coverage
+    is the sidecar that holds the file's runs of covered buckets."""
 
     path: str
     low: int
@@ -167,7 +177,8 @@ class SegmentMeta:
 
 @dataclass
 class TableState:
-    """The fold of the log up to version."""
+    """The fold of the log up to version. coverage is the last snapshot of all runs, pending the sidecars
+    written since, batches the last stream batch of each stream that appends."""
 
     version: int = 0
     spec: IndexSpec | None = None
@@ -175,10 +186,26 @@ class TableState:
     created_at: str = ""
     segments: dict[str, SegmentMeta] = field(default_factory=dict)
     coverage: str | None = None
+    pending: list[str] = field(default_factory=list)
+    batches: dict[str, int] = field(default_factory=dict)
 
     def ordered(self) -> list[SegmentMeta]:
         return sorted(self.segments.values(), key=lambda s: s.order)
 
+    def copy(self) -> TableState:
+        return replace(self, segments=dict(self.segments), pending=list(self.pending), batches=dict(self.batches))
+
+    def to_json(self) -> dict:
+        return {
+            "format": FORMAT_VERSION, "version": self.version, "index": self.spec.to_json(), "schema": self.schema, "created_at": self.created_at,
+            "segments": [s.to_json() for s in self.segments.values()], "coverage": self.coverage, "pending": self.pending, "batches": self.batches,
+        }
+
+    @classmethod
+    def from_json(cls, d: dict) -> TableState:
+        segments = {s.path: s for s in map(SegmentMeta.from_json, d["segments"])}
+        return cls(d["version"], IndexSpec.from_json(d["index"]), d["schema"], d["created_at"], segments, d["coverage"], list(d["pending"]), dict(d["batches"]))
+
 
 @dataclass(frozen=True)
 class OptimizeReport:

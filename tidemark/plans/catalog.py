@@ -84,7 +84,9 @@ shared("range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey
 # sort, limit, sets, subqueries
 shared("top_k_desc", "SELECT event_id, value FROM {events} ORDER BY value DESC NULLS LAST, event_id LIMIT 25")
 shared("limit_after_sort", "SELECT event_id, ts FROM {events} ORDER BY ts NULLS FIRST, event_id LIMIT 10 OFFSET 5")
-shared("union_all_types", "SELECT event_type AS name FROM {events} WHERE user_id < 20 UNION ALL SELECT o_orderstatus AS name FROM {orders} WHERE o_orderkey < 500")
+shared("union_all_types", "SELECT event_type AS name FROM {events} UNION ALL SELECT o_orderstatus AS name FROM {orders}")
+shared("limit_zero", "SELECT event_id, value FROM {events} LIMIT 0")
+shared("group_by_alias", "SELECT CAST(ts AS DATE) AS on_day, count(*) AS n FROM {events} GROUP BY on_day")
 shared("union_distinct", "SELECT event_type AS name FROM {events} UNION SELECT o_orderstatus AS name FROM {orders}")
 shared("intersect_users", "SELECT user_id FROM {events} WHERE event_type = 'click' INTERSECT SELECT user_id FROM {events} WHERE event_type = 'purchase'")
 shared("except_users", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders}")
@@ -99,13 +101,14 @@ shared("exists_subquery", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELE
 shared("join_inner_dim", "SELECT o.o_orderkey, c.c_name, n.n_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey")
 shared("join_left_missing", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 shared("join_right", "SELECT n.n_name, r.r_name FROM {nation} n RIGHT JOIN {region} r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey < 10")
-shared("join_composite", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id = b.event_id")
+shared("join_composite", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id = b.event_id + 1")
+shared("join_composite_supply", "SELECT l.l_orderkey, l.l_linenumber, s.n FROM {lineitem} l JOIN (SELECT l_partkey, l_suppkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey, l_suppkey) s ON l.l_partkey = s.l_partkey AND l.l_suppkey = s.l_suppkey")
 shared("join_semi", "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_nationkey = 3)")
 shared("join_anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
 shared("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 shared("join_full", "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey")
 shared("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
-shared("join_duplicate_keys", "SELECT l.l_orderkey, count(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey < 2000 GROUP BY l.l_orderkey")
+shared("join_duplicate_keys", "SELECT l.l_orderkey, count(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_orderkey")
 
 # scalar functions
 shared("interval_arithmetic", "SELECT event_id, CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS later, CAST(ts + INTERVAL 1 MONTH AS TIMESTAMP) AS month_later FROM {events}", "SELECT event_id, ts + INTERVAL 1 DAY AS later, ts + INTERVAL 1 MONTH AS month_later FROM {events}")
@@ -116,7 +119,7 @@ shared("string_functions", "SELECT user_id, upper(event_type) AS u, concat(event
 shared("math_functions", "SELECT event_id, round(sqrt(abs(value)), 6) AS r, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, mod(event_id, 7) AS m FROM {events}")
 shared("case_coalesce", "SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value < 100 THEN 'mid' ELSE 'high' END AS band, coalesce(nullif(event_type, 'click'), 'none') AS kind FROM {events}")
 shared("rfc3339_compare", "SELECT event_id FROM {events} WHERE ts >= '2024-01-29T00:00:00'")
-shared("decimal_cast", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR(40)) AS d FROM {orders} WHERE o_orderkey < 1000")
+shared("decimal_cast", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR(40)) AS d FROM {orders}")
 
 
 # time bins
@@ -237,7 +240,7 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(C.coverage(e.where(F.pmod("event_id", F.lit(2)) == k), HOUR) for k in (0, 1))
 
 # arrays, maps, JSON, collected values, ranges joined to points
-shared("array_functions", "SELECT event_type, array_agg(DISTINCT user_id ORDER BY user_id) AS users FROM {events} WHERE user_id < 40 GROUP BY event_type".replace("array_agg", "list"), "SELECT event_type, array_sort(collect_set(user_id)) AS users FROM {events} WHERE user_id < 40 GROUP BY event_type")
+shared("array_functions", "SELECT event_type, array_agg(DISTINCT user_id ORDER BY user_id) AS users FROM {events} GROUP BY event_type".replace("array_agg", "list"), "SELECT event_type, array_sort(collect_set(user_id)) AS users FROM {events} GROUP BY event_type")
 shared("unnested_rows", "SELECT o_orderkey, w.word FROM {orders} o, LATERAL (SELECT unnest(string_split(o_orderpriority, '-')) AS word) w", "SELECT o_orderkey, word FROM {orders} LATERAL VIEW explode(split(o_orderpriority, '-')) AS word")
 shared("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}", "SELECT event_id, get_json_object(props, '$.k') AS k FROM {events}")
 shared("string_collected", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
@@ -245,13 +248,6 @@ shared_ntz("join_interval", "WITH d AS (SELECT * FROM (VALUES (1, TIMESTAMP_NTZ
 shared("ranked_shares", "SELECT user_id, n, ntile(4) OVER (ORDER BY n, user_id) AS quarter, percent_rank() OVER (ORDER BY n) AS pr, cume_dist() OVER (ORDER BY n) AS cd FROM (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id) g")
 
 
-# the whole tables of four statements above that take an id prefix
-shared("union_all_types_whole", "SELECT event_type AS name FROM {events} UNION ALL SELECT o_orderstatus AS name FROM {orders}")
-shared("join_duplicate_keys_whole", "SELECT l.l_orderkey, count(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_orderkey")
-shared("decimal_cast_whole", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR(40)) AS d FROM {orders}")
-shared("array_functions_whole", "SELECT event_type, list(DISTINCT user_id ORDER BY user_id) AS users FROM {events} GROUP BY event_type", "SELECT event_type, array_sort(collect_set(user_id)) AS users FROM {events} GROUP BY event_type")
-
-
 DUCK_HALVES = ", ".join(f"{n} AS (SELECT DISTINCT event_type, (epoch_us(ts) // 3600000000)::BIGINT AS bucket FROM events WHERE event_id % 2 = {k})" for n, k in (("a", 0), ("b", 1)))
 
 
@@ -276,18 +272,6 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overlapping_runs(a, b, KEYS).groupBy("event_type").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))
 
 
-@own("segment_bounds", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high, count(*) AS row_count, count(DISTINCT event_type) AS identities FROM events GROUP BY 1")
-def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    us = buckets.micros(F.col("ts"))
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.min(us).alias("low"), F.max(us).alias("high"), F.count(F.lit(1)).alias("row_count"), F.countDistinct("event_type").alias("identities"))
-
-
-@own("segment_prune_range", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-05 12:00:00' AND min(ts) < TIMESTAMP '2024-01-08 00:00:00'")
-def _prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    return seg.where((F.col("high") >= F.lit("2024-01-05 12:00:00").cast("timestamp_ntz")) & (F.col("low") < F.lit("2024-01-08").cast("timestamp_ntz"))).select("day")
-
-
 @own("latest_per_user", "SELECT user_id, max_by(event_id, ts) AS event_id, max(ts) AS ts FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) GROUP BY user_id")
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

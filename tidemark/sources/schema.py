@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from ..errors import SchemaMismatchError
+from ..errors import IndexColumnError, SchemaMismatchError
 from ..model import IndexSpec
 
 #: Incoming type to the stored types it may widen to.
@@ -13,7 +16,6 @@ WIDENINGS = {
     "int8": ("int32", "int64"), "int16": ("int32", "int64"), "int32": ("int64",),
     "uint8": ("uint64",), "uint16": ("uint64",), "uint32": ("uint64",), "float32": ("float64",),
 }
-STORED = frozenset("bool int32 int64 uint64 float32 float64 binary utf8".split())
 SIMPLE = {
     "bool": T.BooleanType(), "int32": T.IntegerType(), "int64": T.LongType(), "uint64": T.DecimalType(20, 0), "float32": T.FloatType(), "float64": T.DoubleType(),
     "binary": T.BinaryType(), "utf8": T.StringType(),
@@ -27,6 +29,8 @@ ARROW = {
 
 def type_name(t: pa.DataType) -> str:
     """Logical name of an Arrow type; raises for types that tables don't store."""
+    if pa.types.is_dictionary(t):  # stored as its values
+        return type_name(t.value_type)
     for name, arrow in ARROW.items():
         if t == arrow:
             return name
@@ -40,7 +44,8 @@ def type_name(t: pa.DataType) -> str:
         names = [f.name for f in t]
         if not names or len(set(names)) < len(names) or any(not n.strip() for n in names):
             raise SchemaMismatchError(f"struct fields must be named, once each: {t}")
-        return "struct<" + ",".join(f"{f.name}:{type_name(f.type)}{'' if f.nullable else '!'}" for f in t) + ">"
+        quoted = lambda n: n if re.fullmatch(r"[A-Za-z_]\w*", n, re.A) else json.dumps(n)
+        return "struct<" + ",".join(f"{quoted(f.name)}:{type_name(f.type)}{'' if f.nullable else '!'}" for f in t) + ">"
     if pa.types.is_list(t):
         return f"list<{type_name(t.value_type)}>"
     if pa.types.is_map(t):
@@ -78,17 +83,87 @@ def from_spark(schema: T.StructType) -> list[dict]:
     return [{"name": f.name, "type": type_name(arrow(f.dataType)), "nullable": f.nullable} for f in schema]
 
 
+TYPE = re.compile(r'\s*(?:(timestamp\[[^\]]*\]|decimal\([^)]*\)|binary\(\d+\)|[A-Za-z_]\w*)|("(?:[^"\\]|\\.)*")|([<>:,!]))', re.A)
+
+
 def spark_type(name: str) -> T.DataType:
-    """Spark type of a logical name that needs no nesting; nested ones keep the type Spark inferred."""
-    if name in SIMPLE:
-        return SIMPLE[name]
-    if name.startswith("timestamp["):
-        return T.TimestampNTZType() if name == "timestamp[]" else T.TimestampType()
-    if name.startswith("decimal("):
-        return T.DecimalType(*map(int, name[8:-1].split(",")))
-    if name.startswith("binary("):
-        return T.BinaryType()
-    raise SchemaMismatchError(f"{name} is nested")
+    """Spark type of a logical name."""
+    parts = [m.groups() for m in TYPE.finditer(name)]
+    at = 0
+
+    def take(sign: str | None = None) -> str:
+        nonlocal at
+        if at == len(parts) or sign and parts[at][2] != sign:
+            raise SchemaMismatchError(f"{name} is not a type")
+        word, quoted, mark = parts[at]
+        at += 1
+        return json.loads(quoted) if quoted else word or mark
+
+    def follows(sign: str) -> bool:
+        nonlocal at
+        if at < len(parts) and parts[at][2] == sign:
+            at += 1
+            return True
+        return False
+
+    def one() -> T.DataType:
+        word = take()
+        if word == "struct" and follows("<"):
+            fields = []
+            while not fields or follows(","):
+                label = take()
+                take(":")
+                kind = one()
+                fields.append(T.StructField(label, kind, not follows("!")))
+            take(">")
+            return T.StructType(fields)
+        if word in ("list", "map") and follows("<"):
+            kinds = [one()]
+            while follows(","):
+                kinds.append(one())
+            take(">")
+            return T.ArrayType(*kinds) if word == "list" else T.MapType(*kinds)
+        if word in SIMPLE:
+            return SIMPLE[word]
+        if word.startswith("timestamp["):
+            return T.TimestampNTZType() if word == "timestamp[]" else T.TimestampType()
+        if word.startswith("decimal("):
+            return T.DecimalType(*map(int, word[8:-1].split(",")))
+        if word.startswith("binary("):
+            return T.BinaryType()
+        raise SchemaMismatchError(f"{name} is not a type")
+
+    found = one()
+    if at < len(parts):
+        raise SchemaMismatchError(f"{name} is not a type")
+    return found
+
+
+def spark_schema(fields: list[dict]) -> T.StructType:
+    return T.StructType([T.StructField(f["name"], spark_type(f["type"]), True) for f in fields])
+
+
+def arrow_schema(schema: pa.Schema, casts: list[tuple[str, str | None]]) -> pa.Schema:
+    """Arrow schema of a segment: the planned casts, dictionaries decoded, microseconds, unsigned 64-bit as decimal."""
+
+    def stored(t: pa.DataType) -> pa.DataType:
+        if pa.types.is_dictionary(t):
+            return stored(t.value_type)
+        if pa.types.is_timestamp(t):
+            return pa.timestamp("us", t.tz)
+        return pa.decimal128(20, 0) if t == pa.uint64() else t
+
+    return pa.schema([pa.field(n, stored(ARROW[to] if to else schema.field(n).type)) for n, to in casts])
+
+
+def zone_of(fields: list[dict] | None, spec: IndexSpec) -> str:
+    """Zone in which the index's local days and hours are told: the column's own, else the declared one. A column
+    without zone is told in UTC whatever is declared, as its buckets are."""
+    found = next((f["type"] for f in fields or () if f["name"] == spec.column), "")
+    if not found.startswith("timestamp[") or found == "timestamp[]":
+        return "UTC"
+    own = found[10:-1]
+    return spec.timezone or own if own.upper() in ("UTC", "ETC/UTC", "Z", "+00:00") else own
 
 
 def base_type(name: str) -> str:
@@ -122,11 +197,11 @@ def check_index(spec: IndexSpec, fields: list[dict]) -> None:
     """The index and entity columns must exist with fitting types."""
     types = {f["name"]: f["type"] for f in fields}
     if spec.column not in types:
-        raise SchemaMismatchError(f"index column {spec.column} is missing")
+        raise IndexColumnError(f"index column {spec.column} is missing")
     found = types[spec.column]
     fits = found.startswith("timestamp[") if spec.kind == "timestamp" else found == spec.kind or spec.kind == "uint64" and found in ("decimal(20,0)", "uint8", "uint16", "uint32") or spec.kind == "int64" and found in ("int8", "int16", "int32")
     if not fits:
-        raise SchemaMismatchError(f"index column {spec.column} is {found}, not {spec.kind}")
+        raise IndexColumnError(f"index column {spec.column} is {found}, not {spec.kind}")
     for e in spec.entities:
         if types.get(e) not in ("utf8", "int32", "int64", "uint64", "decimal(20,0)"):
-            raise SchemaMismatchError(f"entity column {e} is {types.get(e, 'missing')}")
+            raise IndexColumnError(f"entity column {e} is {types.get(e, 'missing')}")
