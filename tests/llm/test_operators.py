@@ -298,27 +298,87 @@ def test_fingerprints(spark):
     assert {(r["doc_id"], r["component_id"]) for r in out} >= {(1, 1), (2, 2), (3, 2)} and len(out) == 6
 
 
-def test_links_are_complete(spark, monkeypatch):
-    r = random.Random(8)
-    base = [r.getrandbits(64) for _ in range(20)]
+def pairs_within(fps, most):
+    return {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= most}
+
+
+def grouped(fps, edges):
+    root = brute_components(fps, lambda a, b: (a, b) in edges or (b, a) in edges)
+    parts = {}
+    for v, r in root.items():
+        parts.setdefault(r, []).append(v)
+    return sorted(map(sorted, parts.values()))
+
+
+def planted(r, n, step):
+    base = [r.getrandbits(64) for _ in range(n)] + [0, (1 << 64) - 1]
     fps = set(base)
     for b in base:
         for _ in range(6):
-            b ^= 1 << r.randrange(64)
+            for _ in range(step):
+                b ^= 1 << r.randrange(64)
             fps.add(b)
             fps.add(b ^ 1 << r.randrange(64) ^ r.randrange(64))
-    fps = sorted(fps)
-    for cell in (simhash.CELL, 2):  # the second sends nearly all cells to the finer cut
-        monkeypatch.setattr(simhash, "CELL", cell)
-        df = spark.createDataFrame([(simhash.signed(v),) for v in fps], "fp bigint")
-        got = {r["node"]: r["root"] for r in components.connected_components(simhash.links(df)).collect()}
-        parts = {}
-        for v in fps:
-            parts.setdefault(got.get(simhash.signed(v), simhash.signed(v)), set()).add(v)
-        expect = {}
-        for v, root in brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 2).items():
-            expect.setdefault(root, set()).add(v)
-        assert sorted(map(sorted, parts.values())) == sorted(map(sorted, expect.values()))
+    return sorted(fps)
+
+
+def test_links_are_complete(spark, monkeypatch):
+    r = random.Random(8)
+    fps = planted(r, 20, 1)
+    want = grouped(fps, pairs_within(fps, 2))
+    df = spark.createDataFrame([(simhash.signed(v),) for v in fps], "fp bigint")
+    # few and many coordinates, parts that are compared at once and parts that are cut to the last reference
+    for few, leaf, block in ((500, 256, 1024), (1, 2, 7), (50, 8, 1024)):
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert grouped(fps, {(a, b) for a, b in simhash.cell_links(np.array(fps, dtype=np.uint64))}) == want
+        if few > 1:
+            roots = {r["node"] % (1 << 64): r["root"] for r in components.connected_components(simhash.links(df)).collect()}
+            parts = {}
+            for v in fps:
+                parts.setdefault(roots.get(v, v), []).append(v)
+            assert sorted(map(sorted, parts.values())) == want
+
+
+def test_coordinates_discard(monkeypatch):
+    """Pairs are discarded by the pivot table alone: with it blinded, the comparisons are those of all pairs."""
+    r = np.random.default_rng(3)
+    fps = np.unique(r.integers(0, 1 << 64, 1500, dtype=np.uint64))
+    table = np.bitwise_count(fps[:, None] ^ simhash.REFERENCES[None, :]).astype(int)
+    left = sum(int((np.abs(table[i + 1 :] - table[i]).max(axis=1) <= 2).sum()) for i in range(len(fps)))
+    assert left <= 5  # of 1.1 million pairs
+
+
+@pytest.mark.parametrize("n", [1, 8, 1000])
+def test_components_of_a_path(spark, monkeypatch, n):
+    rounds = []
+    real = components.written
+    monkeypatch.setattr(components, "written", lambda df, kind: (rounds.append(kind), real(df, kind))[1])
+    nodes = list(range(n + 1))
+    df = spark.createDataFrame([(a, a + 1) for a in range(n)] + [(n + 10, n + 11), (5, 5)], "a bigint, b bigint")
+    found = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
+    assert len({found[v] for v in nodes}) == 1 and found[n + 10] == found[n + 11] != found[0]
+    assert rounds.count("step") <= 12
+
+
+def test_simhash_query(spark, tmp_path):
+    r = random.Random(11)
+    texts = ["", None, "A b", "a B", "one two three four five"] + [" ".join(r.choice("abcdefghij") for _ in range(30)) for _ in range(30)]
+    texts += [t.replace("a", "A") + " x" for t in texts[5:15]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "a B"), (None, "a b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS fingerprint", "2 AS component_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in registry.QUERIES["op9_simhash"](spark, str(tmp_path)).collect()), key=str)
+    prints = [brute_fingerprint(t) for _, t in rows]
+    root = brute_components(list(range(len(rows))), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(root[k], []).append(i)
+    want = [(i, f"{prints[k]:016x}", min((v for v in least[root[k]] if v is not None), default=None)) for k, (i, _) in enumerate(rows)]
+    assert got == sorted(want, key=str)
+    empty = tmp_path / "none"
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(empty / "documents.parquet"))
+    assert registry.QUERIES["op9_simhash"](spark, str(empty)).count() == 0
 
 
 def test_representatives(spark):

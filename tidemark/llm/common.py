@@ -19,9 +19,12 @@ SLOTS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see. Only an unset setting is filled in (local tests)."""
+    """Folder that the driver and all executors see. Only an unset setting is filled in, and only where driver and
+    executors are one machine (tests)."""
     base = spark.conf.get(CHECKPOINT, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"on a cluster {CHECKPOINT} must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(CHECKPOINT, base)
     return base.rstrip("/")
@@ -59,7 +62,8 @@ Columns = dict[str, list]
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterable[Columns]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow for functions over columns of Python values.
 
-    fn takes an iterator of batches and yields batches, each a dict of equally long lists.
+    fn takes an iterator of batches and yields batches, each a dict of equally long lists. Give it only the
+    columns it reads: all of them become Python values.
     """
     out = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
@@ -75,6 +79,16 @@ def arrow_rows(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterable[Columns
     return df.mapInArrow(run, out)
 
 
+def filtered(df: DataFrame, fn: Callable[[list], list[bool]], col: str) -> DataFrame:
+    """The rows whose value of col fn keeps; the other columns stay in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(fn(b.column(b.schema.get_field_index(col)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def per_row(fn: Callable[..., tuple], names: list[str], keep: list[str]) -> Callable:
     """Lift fn(value of the last column) -> tuple of the named results to batches; keep passes through."""
 

@@ -1,22 +1,31 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints are 64-bit majority votes over XXH64 of 3-word shingles. Two fingerprints link at 2 or fewer
-differing bits. The reference points of the pivot tables are the zero fingerprint, the unit fingerprints of
-single bits and a fixed set of spread fingerprints. A distance to a unit reference differs from that to zero
-by one bit's value, so two linked fingerprints have equal coordinates on all but two bits; cutting the bits
-into blocks, they agree on all blocks but two. Fingerprints whose coordinates agree on all blocks but two
-meet in a cell; inside it, pairs whose largest coordinate difference over the spread references exceeds 2
-are discarded (triangle inequality) and the survivors are verified. A cell with many fingerprints is cut
-again into smaller blocks of its two free ones, so that no cell of the second level can hold over 256.
+Fingerprints are 64-bit majority votes over XXH64 of word shingles. Their Hamming distances to PIVOTS
+reference fingerprints make the pivot table: by the triangle inequality two fingerprints within MOST bits
+differ by at most MOST in every coordinate, so a pair whose largest coordinate difference is greater is
+discarded, and what is left is verified.
+
+The table also deals the fingerprints out. A few coordinates, those that spread these fingerprints most, are
+cut into slabs of WIDTH distances; a fingerprint goes to its own slab and, if it stands within MOST of the
+slab's lower end, to the one below, so that two linked ones share a slab in every coordinate, hence a cell.
+A task cuts its cells further, coordinate by coordinate in the same way, until a part is small (LEAF) or the
+references are used up, and then compares the part in blocks. One coordinate is taken for every factor FACTOR that
+the fingerprints are more than FEW, and brings about 1.7 rows a row, so the rows dealt (16 bytes each) grow as
+n to the power 1.3. That is what pivots can give: the distances of unlike fingerprints stand close to 32, so
+a coordinate tells little.
+
+Of a part only a spanning forest of its links leaves the task, so a large group of near copies costs
+comparisons, not rows.
 
 Defined results: a null text has no words; a text without words has fingerprint zero and is linked like
-any other; fewer than three words make one shingle of all; equal fingerprints link; rows without an id take
+any other; fewer words than a shingle make one shingle of all; equal fingerprints link; rows without an id take
 part, and a component's id is its smallest non-null id (null if it has none); repeated rows are answered
-once each; extra columns are ignored.
+once each; extra columns are ignored; an empty table gives an empty answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,13 +38,26 @@ from .components import connected_components
 
 SHINGLE, BITS, MOST = 3, 64, 2
 SEED = 42
-#: Fingerprints in a first-level cell beyond which it is cut again.
-CELL = 512
-#: Blocks that the bits are cut into, and blocks that a hot cell's free bits are cut into.
-BLOCKS, FINE = 4, 8
+#: Distances in a slab, and coordinates in the pivot table.
+WIDTH, PIVOTS = 3, 24
+#: Fingerprints of a part that are compared without a further cut, and rows and columns of a block of comparisons.
+LEAF, BLOCK = 256, 1024
+#: Largest share of a part that one cut may leave together.
+SHARE = 0.6
+#: There is one coordinate for every factor FACTOR that the fingerprints are more than FEW.
+FEW, FACTOR = 500, 5
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Spread references of the pivot table: odd multiples of the golden ratio's 64-bit fraction.
-PIVOTS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(24)], dtype=np.uint64)
+#: References of the pivot table: odd multiples of the golden ratio's 64-bit fraction.
+REFERENCES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(PIVOTS)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the 64-bit hashes."""
+    votes = np.zeros(BITS, dtype=np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        part = hashes[a : a + (1 << 14)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprint(text: str | None) -> int:
@@ -45,12 +67,7 @@ def fingerprint(text: str | None) -> int:
     h = xxhash.xxh64_intdigest
     if len(words) <= SHINGLE:
         return h(b" ".join(words), SEED)
-    hashes = np.fromiter((h(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:])), dtype="<u8", count=len(words) - 2)
-    votes = np.zeros(BITS, dtype=np.int64)
-    for a in range(0, len(hashes), 1 << 14):
-        part = hashes[a : a + (1 << 14)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(np.fromiter((h(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:])), dtype="<u8", count=len(words) - 2))
 
 
 def signed(v: int) -> int:
@@ -68,71 +85,88 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_rows(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")), run, "doc_id bigint, fp bigint")
 
 
-def masks(bits: list[int], n: int) -> list[int]:
-    """For every pair of n blocks of the given bits: the mask of the bits outside the pair."""
-    block = [sum(1 << b for b in bits[i * len(bits) // n : (i + 1) * len(bits) // n]) for i in range(n)]
-    whole = sum(block)
-    return [whole & ~(block[i] | block[j]) for i in range(n) for j in range(i)]
-
-
-def coarse() -> list[int]:
-    return masks(list(range(BITS)), BLOCKS)
-
-
-def fine(mask: int) -> list[int]:
-    """Masks for a hot cell: its own bits, and those outside a pair of small blocks of the free bits."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | m for m in masks(free, FINE)]
-
-
-def popcount(v: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(v)
-
-
-def cell_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside one cell: (smaller, larger) fingerprints as uint64.
-
-    The distance table to the spread references is sorted by its first column; only stretches within 2 of it
-    are compared, the largest difference over all columns discards pairs, the survivors are verified.
-    """
-    table = popcount(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    parent = list(range(len(fps)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for i in range(len(fps) - 1):
-        end = int(np.searchsorted(table[:, 0], table[i, 0] + MOST, side="right"))
-        near = np.abs(table[i + 1 : end] - table[i]).max(axis=1) <= MOST
-        for j in np.flatnonzero(near) + i + 1:
-            if (int(fps[i]) ^ int(fps[j])).bit_count() <= MOST and (a := root(i)) != (b := root(int(j))):
-                parent[a] = b
-                links.append((int(fps[i]), int(fps[j])))
-    return links
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) fingerprints such that the links' components are those of all pairs within MOST bits. fps: distinct."""
-    rough = coarse()
-    cells = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(rough)))).alias("c")).select("fp", "c.t", "c.k")
-    shared = cells.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnsRenamed({"t": "ct", "k": "ck"})
-    met = cells.join(shared, (F.col("t") == F.col("ct")) & (F.col("k") == F.col("ck"))).select("fp", "t", "n")
-    cuts = F.array(*(F.array(*(F.lit(signed(m)) for m in fine(mask))) for mask in rough))
-    whole = F.array(*(F.array(F.lit(signed(mask))) for mask in rough))
-    mask = F.explode(F.when(F.col("n") > CELL, F.element_at(cuts, F.col("t") + 1)).otherwise(F.element_at(whole, F.col("t") + 1)))
-    keyed = met.select("fp", "t", mask.alias("mask")).select("fp", F.xxhash64("t", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"))
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, root) that join what the edges a, b join, by least labels."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (again := root[root]).tolist() != root.tolist():
+            root = again
+    at = np.flatnonzero(root != np.arange(n))
+    return at, root[at]
+
+
+def compared(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links of one part: the largest coordinate difference discards, popcount verifies.
+    The coordinates are taken one after the other, each on the pairs that are left."""
+    held_a: list[np.ndarray] = []
+    held_b: list[np.ndarray] = []
+    for i in range(0, len(fps), BLOCK):
+        for j in range(i, len(fps), BLOCK):
+            t, u = table[i : i + BLOCK], table[j : j + BLOCK]
+            near = (np.abs(t[:, None, 0] - u[None, :, 0]) <= most) & (np.abs(t[:, None, 1] - u[None, :, 1]) <= most)
+            a, b = np.nonzero(np.triu(near, 1) if i == j else near)
+            for k in range(2, table.shape[1]):
+                if not len(a):
+                    break
+                stay = np.abs(t[a, k] - u[b, k]) <= most
+                a, b = a[stay], b[stay]
+            if len(a):
+                stay = np.bitwise_count(fps[i : i + BLOCK][a] ^ fps[j : j + BLOCK][b]) <= most
+                a, b = forest(len(fps), a[stay] + i, b[stay] + j)
+                held_a.append(a)
+                held_b.append(b)
+    if not held_a:
+        return np.empty(0, dtype=int), np.empty(0, dtype=int)
+    return forest(len(fps), np.concatenate(held_a), np.concatenate(held_b))
+
+
+def cell_links(fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
+    """(a, b) of distinct fingerprints: a spanning forest of the links within most bits."""
+    table = np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
+    width, left, right = most + 1, [], []
+    todo = [(np.arange(len(fps)), 0)]
+    while todo:
+        at, k = todo.pop()
+        if len(at) < 2:
+            continue
+        if len(at) <= LEAF or k == PIVOTS:
+            a, b = compared(fps[at], table[at], most)
+            left.append(at[a])
+            right.append(at[b])
+            continue
+        d = table[at, k]
+        slab, below = d // width, d % width < most
+        parts = [at[(slab == s) | (slab == s + 1) & below] for s in range(int(slab.min()) - 1, int(slab.max()) + 1)]
+        # near copies stand alike in a coordinate; a cut that parts few of them is not worth its overlap
+        todo += [(p, k + 1) for p in parts] if max(map(len, parts)) <= SHARE * len(at) else [(at, k + 1)]
+    if not left:
+        return []
+    a, b = forest(len(fps), np.concatenate(left), np.concatenate(right))
+    return list(zip(fps[a].tolist(), fps[b].tolist()))
+
+
+def links(fps: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b) fingerprints such that the links' components are those of all pairs within most bits. fps: distinct."""
+    distance = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(p))))) for p in REFERENCES]
+    told = fps.select(*(d.alias(f"d{i}") for i, d in enumerate(distance))).agg(F.count(F.lit(1)).alias("n"), *(F.var_pop(f"d{i}").alias(f"v{i}") for i in range(PIVOTS))).first()
+    n = max(1, told["n"])
+    best = sorted(range(PIVOTS), key=lambda i: (-(told[f"v{i}"] or 0.0), i))[: max(1, min(PIVOTS, round(math.log(max(1, n / FEW), FACTOR))))]
+    width = most + 1
+    dealt = fps.select("fp")
+    for i in best:
+        slab = F.floor(distance[i] / width).cast("int")
+        dealt = dealt.withColumn(f"c{i}", F.explode(F.when(distance[i] % width < most, F.array(slab, slab - 1)).otherwise(F.array(slab))))
+    keyed = dealt.select("fp", F.xxhash64(*(f"c{i}" for i in best)).alias("cell"))
 
     def run(batches: Iterable[Columns]) -> Iterator[Columns]:
         cell, held = None, []
 
         def told(rows: list[int]) -> list[tuple[int, int]]:
-            return cell_links(np.array(sorted({v % (1 << 64) for v in rows}), dtype=np.uint64)) if len(rows) > 1 else []
+            return cell_links(np.array(rows, dtype=np.int64).view(np.uint64), most) if len(rows) > 1 else []
 
         for b in batches:
             out: list[tuple[int, int]] = []
@@ -146,8 +180,8 @@ def links(fps: DataFrame) -> DataFrame:
         if out := told(held):
             yield {"a": [signed(x) for x, _ in out], "b": [signed(y) for _, y in out]}
 
-    dealt = keyed.repartition("cell").sortWithinPartitions("cell").select("cell", "fp")
-    return arrow_rows(dealt, run, "a bigint, b bigint")
+    sorted_cells = keyed.repartition("cell").sortWithinPartitions("cell").select("cell", "fp")
+    return arrow_rows(sorted_cells, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
