@@ -125,10 +125,51 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(7, item), (8, None), (9, ""), (6, "tiny item")], "item_id bigint, text string")
     got = {tuple(r) for r in decontaminate.contaminated(docs, items).select("doc_id", "item_id", "covered").collect()}
     assert got == {(10, 7, 40), (11, 7, 40)}
-    assert got == {tuple(r) for r in decontaminate.contaminated(docs, items, max_seeds=0).select("doc_id", "item_id", "covered").collect()}
     kept = decontaminate.clean_documents(docs, items)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
+    assert decontaminate.clean_documents(docs, items.limit(0)).count() == docs.count()
+
+
+def contamination_case(r):
+    """Documents of copied, reordered and unlike passages; repeated and null ids, repeated items, nulls and blanks."""
+    words = [f"w{i}" for i in range(9)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([2, 4, 5, 6, 14, 25])))) for k in range(12)]
+    docs = []
+    for k in range(50):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            ws = r.choice(items)[1].split()
+            a = r.randrange(len(ws))
+            parts += ws[a : a + r.randint(1, 12)] if r.random() < 0.7 else [r.choice(words) for _ in range(5)]
+        docs.append((k // 2 if k % 7 else None, " ".join(parts)))
+    return [*docs, docs[3], (4, None), (5, ""), (6, " \n ")], [*items, items[4], (90, None), (91, " "), (None, items[5][1])]
+
+
+def test_decontamination_query(spark, tmp_path):
+    docs, items = contamination_case(random.Random(12))
+    spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "2 AS coverage").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 AS doc_id").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want, clean = [], []
+    for i, text in docs:
+        t, hit = (text or "").split(), False
+        for k, item in items:
+            p = (item or "").split()
+            covered = brute_tiles(p, t, min(5, len(p))) if p else 0
+            if covered and covered >= 0.5 * len(p):
+                want.append((i, k, covered, len(p)))
+                hit = True
+        if not hit:
+            clean.append((i, text))
+    rows = registry.QUERIES["op4_decontaminate"](spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["covered"], r["item_tokens"]) for r in rows), key=str) == sorted(want, key=str) and len(want) > 20
+    assert all(r["coverage"] == r["covered"] / r["item_tokens"] for r in rows)
+    d, q = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    for size in (decontaminate.PASS_BYTES, 100):  # one part, and about one for each item
+        pairs = decontaminate.contaminated(d, q, pass_bytes=size).select("doc_id", "item_id", "covered", "item_tokens").collect()
+        assert sorted(map(tuple, pairs), key=str) == sorted(want, key=str)
+        kept = decontaminate.clean_documents(d, q, pass_bytes=size)
+        assert kept.columns == d.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(clean, key=str)
 
 
 # secrets

@@ -6,12 +6,15 @@ length and marked without overlap, until no match of ``min_match`` tokens is lef
 tokens under tiles is its coverage, whatever the order its passages stand in; a document is contaminated
 by an item at ``coverage`` or more.
 
-The seeds of a benchmark of up to MAX_SEEDS seeds are sent to the tasks, which read each document once; a
-larger benchmark is joined by shuffling the documents' seeds.
+The items are sent to the tasks, in parts of about PASS_BYTES bytes of text so that a part's index stays within
+about ten times that; the documents are read once for each part, and every row is judged where it stands. So
+nothing is shuffled, no token or passage can be a hot key, and the answer is the same at every size of the
+benchmark and of a part.
 
 Defined results: null or blank texts and items have no tokens and never match; an item shorter than
-``min_match`` tokens is matched whole; rows without an id are checked like others; repeated items or documents give
-one row each pair; extra columns are ignored.
+``min_match`` tokens is matched whole; rows without an id are checked like others; every row of the documents
+meets every row of the items, so repeated ones give one row each pair; extra columns are ignored; an empty
+table on either side gives no pairs and keeps all documents.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Columns, arrow_rows
+from .common import Columns, arrow_rows, filtered
 
 MIN_MATCH, COVERAGE, START = 5, 0.5, 20
-#: Seeds (about 100 bytes each in a task) up to which a benchmark is sent to every task.
-MAX_SEEDS = 500_000
+#: Bytes of item texts, about, that are sent to the tasks at a time. An item is never divided.
+PASS_BYTES = 8 << 20
 #: Tokens are runs of ASCII letters, digits and underscores and of non-ASCII signs but punctuation.
 MARKS = re.compile("[\u0080-\u00bf\u2000-\u206f\u3000-\u303f]")
 SPACED = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -116,17 +120,21 @@ class Benchmark:
     def __init__(self, items: list[tuple[int | None, str | None]], min_match: int) -> None:
         self.min_match, self.vocabulary, self.items = min_match, {}, []
         for item_id, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
-            if words:
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
+            if len(words):
                 self.items.append((item_id, words))
         self.widths = sorted({min(min_match, len(w)) for _, w in self.items})
-        seeds: dict[int, set[int]] = {}
+        # seeds in order, and the items that hold each, as stretches of one array
+        found, held = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int32)]
         for k, (_, words) in enumerate(self.items):
-            n = min(min_match, len(words))
-            for h in self.hashes(np.array(words, dtype=np.int64), n).tolist():
-                seeds.setdefault(h, set()).add(k)
-        self.seeds = np.array(sorted(seeds), dtype=np.uint64)
-        self.owners = [sorted(seeds[h]) for h in sorted(seeds)]
+            own = np.unique(self.hashes(words, min(min_match, len(words))))
+            found.append(own)
+            held.append(np.full(len(own), k, dtype=np.int32))
+        every, items_of = np.concatenate(found), np.concatenate(held)
+        order = np.argsort(every, kind="stable")
+        self.owners = items_of[order]
+        self.seeds, self.first = np.unique(every[order], return_index=True)
+        self.last = np.r_[self.first[1:], len(every)]
         # one bit for each value of a seed's low bits: most documents' stretches end here
         self.slots = np.zeros(1 << 20, dtype=bool)
         self.slots[self.seeds & np.uint64((1 << 20) - 1)] = True
@@ -160,7 +168,7 @@ class Benchmark:
             at = np.searchsorted(self.seeds, h[maybe])
             at[at == len(self.seeds)] = 0
             for i, k in zip(maybe[self.seeds[at] == h[maybe]].tolist(), at[self.seeds[at] == h[maybe]].tolist()):
-                for item in self.owners[k]:
+                for item in self.owners[self.first[k] : self.last[k]].tolist():
                     places.setdefault(item, []).append((i, n))
         out = []
         for item, spots in sorted(places.items()):
@@ -179,87 +187,48 @@ class Benchmark:
                     kept.append(-len(kept))  # a break that matches nothing
                 kept.append(int(ids[i]))
                 last = i
-            tiles = tile(pattern, kept, n)
+            tiles = tile(pattern.tolist(), kept, n)
             covered = sum(t[2] for t in tiles)
             if covered and covered >= coverage * len(pattern):
                 out.append((item_id, covered / len(pattern), len(tiles), covered, len(pattern)))
         return out
 
 
-def _sent(docs: DataFrame, bench: Benchmark, coverage: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(bench)
-
-    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
-        names = ("doc_id", "item_id", "coverage", "tiles", "covered", "item_tokens")
-        for b in batches:
-            rows = [(i, *r) for i, t in zip(b["doc_id"], b["text"]) for r in sent.value.check(t, coverage)]
-            if rows:
-                yield dict(zip(names, map(list, zip(*rows))))
+def parts(items: DataFrame, min_match: int, pass_bytes: int) -> Iterator[Benchmark]:
+    """The items dealt by hash into parts that a task can hold."""
+    q = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text"))
+    size = q.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // pass_bytes))
+    for k in range(n):
+        some = q.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield Benchmark([(r["item_id"], r["text"]) for r in some], min_match)
 
-    return arrow_rows(docs, run, MATCHED)
 
+def contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """Pairs of doc_id and item_id with the item's coverage, where it reaches the threshold."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    names = ("doc_id", "item_id", "coverage", "tiles", "covered", "item_tokens")
 
-def _joined(docs: DataFrame, items: DataFrame, min_match: int, coverage: float) -> DataFrame:
-    """Seeds of both sides are shuffled; pairs are tiled with the texts joined back by row."""
+    def found(bench: Benchmark) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(bench)
 
-    def seeds(width_of):
         def run(batches: Iterable[Columns]) -> Iterator[Columns]:
             for b in batches:
-                rows = []
-                for i, t in zip(b["row"], b["t"]):
-                    words = tokens(t)
-                    for n in width_of(len(words)):
-                        rows += [(i, s) for s in {b" ".join(words[a : a + n]).decode() for a in range(len(words) - n + 1)}]
-                yield {"row": [r[0] for r in rows], "seed": [r[1] for r in rows]}
-
-        return run
-
-    d = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    q = items.withColumn("row", F.xxhash64("item_id", "text"))
-    widths = list(range(1, min_match + 1))
-    ds = arrow_rows(d.select("row", F.col("text").alias("t")), seeds(lambda n: [w for w in widths if w <= n]), "row bigint, seed string")
-    qs = arrow_rows(q.select("row", F.col("text").alias("t")), seeds(lambda n: [min(min_match, n)] if n else []), "row bigint, seed string")
-    pairs = ds.join(qs.withColumnsRenamed({"row": "item_row"}), "seed").select("row", "item_row").distinct()
-    full = pairs.join(d, "row").join(q.select(F.col("row").alias("item_row"), "item_id", F.col("text").alias("item_text")).dropDuplicates(["item_row"]), "item_row").select("doc_id", "text", "item_id", "item_text")
-
-    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
-        names = ("doc_id", "item_id", "coverage", "tiles", "covered", "item_tokens")
-        for b in batches:
-            rows = [(i, *r) for i, t, item, text in zip(*b.values()) for r in Benchmark([(item, text)], min_match).check(t, coverage)]
-            if rows:
-                yield dict(zip(names, map(list, zip(*rows))))
+                rows = [(i, *r) for i, t in zip(b["doc_id"], b["text"]) for r in sent.value.check(t, coverage)]
+                if rows:
+                    yield dict(zip(names, map(list, zip(*rows))))
 
-    return arrow_rows(full, run, MATCHED)
+        return arrow_rows(d, run, MATCHED)
 
-
-def contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """Pairs of doc_id and item_id with the item's coverage, where it reaches the threshold."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    q = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text"))
-    size = q.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
-    if size <= max_seeds:
-        found = _sent(d, Benchmark([(r["item_id"], r["text"]) for r in q.collect()], min_match), coverage)
-    else:
-        found = _joined(d, q, min_match, coverage)
-    return found
+    return reduce(DataFrame.unionAll, map(found, parts(items, min_match, pass_bytes)))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Rows of docs that no item contaminates; every row is judged on its own text."""
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
-    options = {"min_match": MIN_MATCH, "coverage": COVERAGE, "max_seeds": MAX_SEEDS} | options
-    if size > options["max_seeds"]:
-        gone = contaminated(docs, items, **options).select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    q = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text"))
-    bench = docs.sparkSession.sparkContext.broadcast(Benchmark([(r["item_id"], r["text"]) for r in q.collect()], options["min_match"]))
-
-    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
-        for b in batches:
-            stay = [not bench.value.check(t, options["coverage"]) for t in b["text"]]
-            yield {c: [v for v, s in zip(vs, stay) if s] for c, vs in b.items()}
-
-    return arrow_rows(docs, run, docs.schema)
+    for bench in parts(items, min_match, pass_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(bench)
+        docs = filtered(docs, lambda texts, sent=sent: [not sent.value.check(t, coverage) for t in texts], "text")
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
