@@ -37,6 +37,57 @@ def test_extract():
     assert html_extract.extract(f"<article>{body}</article>", tree).count("\n") == 1999
 
 
+def article(inner):
+    return f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{inner}<footer>c me and you</footer></body></html>"
+
+
+def para(n, word="word"):
+    return "<p>" + " ".join(["KEEP", *[word] * n]) + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    article(f"<article><h1>KEEP</h1>{para(30)}<section class='legal analysis'>{para(20)}{para(15)}</section>{para(40)}</article>"),
+    article(f"<article>{para(30)}<p class='ad-free'>KEEP it {'word ' * 12}</p>{para(40)}</article>"),
+    article(f"<div class='content-side'><h1>KEEP this title here</h1>{para(30)}{para(50)}</div>"),
+    article(f"<div class='layout has-sidebar'><article>{para(30)}{para(5)}</article></div>"),
+    article(f"<article>{para(30)}<div class='share-story'>{para(25)}</div>{para(30)}</article>"),
+    article(f"<div>{para(30)}{para(50)}{para(3)}{para(50)}</div>"),
+])
+def test_misleading_and_missing_names(page):
+    tree = html_extract.train_tree(html_extract.labelled_rows())
+    text = html_extract.extract(page, tree)
+    assert text.count("KEEP") == page.count("KEEP") and "Home" not in text and "c me" not in text
+
+
+def test_neighbours_decide():
+    """Equal blocks under equal hints are decided by what stands around them, inside main regions and outside."""
+    tree = html_extract.train_tree(html_extract.labelled_rows())
+    comment = "<div class='comments'>{}<p>" + "word " * 70 + "IT</p>{}</div>"
+    calm, long = "<p>by me</p>", para(80)
+    assert "IT" not in html_extract.extract(article(comment.format(calm, calm)), tree)
+    assert "IT" in html_extract.extract(article(comment.format(long, long)), tree)
+    teaser = "<article>{0}<div>more of IT</div>{0}" + para(40) + "</article>"
+    assert "IT" not in html_extract.extract(article(teaser.format("<div><a href=/x>Another</a></div>")), tree)
+    assert "IT" in html_extract.extract(article(teaser.format(para(20))), tree)
+    open_page = "<div>{0}<p>seven words or so to be IT</p>{0}</div>"
+    assert "IT" in html_extract.extract(article(open_page.format(para(40))), tree)
+    assert "IT" not in html_extract.extract(article(open_page.format("<p>a b</p>")), tree)
+
+
+def test_pages_without_marks():
+    """Pages of the sample whose elements and names say nothing any more, against the same pages as they are."""
+    import pyarrow.parquet as pq
+
+    tree = html_extract.train_tree(html_extract.labelled_rows())
+    right = lost = wrong = 0
+    for page in pq.read_table(f"{SMALL}/pages.parquet")["html"].to_pylist():
+        want = set(html_extract.extract(page, tree).split("\n"))
+        bare = re.sub(r"<(/?)(article|main|nav|footer|aside|header|form)\b", r"<\1div", re.sub(r' (class|id|role)="[^"]*"', "", page))
+        got = {text for text, x in html_extract.described(bare) if tree(x)}
+        right, lost, wrong = right + len(want & got), lost + len(want - got), wrong + len(got - want)
+    assert right > 20 and lost <= 0.05 * right and wrong <= 0.05 * right
+
+
 def test_extract_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 6)], "page_id bigint, url string, html string, text int")
     rows = html_extract.extract_pages(df).collect()

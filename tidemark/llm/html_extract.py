@@ -1,20 +1,25 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. Each block is described by its own and its neighbours' word
-counts and link densities, and by the kind of region that encloses it; a decision tree that is trained
-here on a small labelled table says which blocks are main text.
+counts and link densities, by the elements and the class names that enclose it, and by whether the page marks
+a main region at all; a decision tree that is trained here on a small labelled table says which blocks are
+main text. Elements and names are hints: the table holds blocks of every hint that are main text and blocks
+that are not, told apart by the block and its neighbours. decided_against() counts blocks that the tree
+decides against their hints.
 
 Defined results: null or empty html gives the empty text; unclosed or unmatched tags never fail; an
 unclosed comment, script or style runs to the end of the page; rows with equal or null ids are each
-answered on their own; extra columns of the input are ignored.
+answered on their own; extra columns of the input are ignored; an empty table gives an empty answer.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_rows, per_row
@@ -38,9 +43,12 @@ MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FLOW = frozenset("p pre blockquote figcaption".split())
 ENDS_P = frozenset("p div ul ol dl li table section article main nav header footer aside form h1 h2 h3 h4 h5 h6 hr pre blockquote figure address fieldset details menu dd dt tr td th".split())
+#: Names of side matter, names that side matter and main text share, and names that say nothing beside others.
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail widget widgets footer foot comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login search toolbar pagination pager copyright legal disclaimer masthead topbar skip tags toc teaser outbrain taboola".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer comment comments commentlist reply replies respond disqus sharing social related recommended newsletter subscribe subscription signup login toolbar pagination pager copyright disclaimer masthead topbar toc teaser outbrain taboola".split()
 )
+WEAK_WORDS = frozenset("promo promotion banner notice notices alert side rail foot share search legal skip tags".split())
+NEUTRAL_WORDS = frozenset("a b box block wrap wrapper container list item items inner outer section area bar panel unit slot top bottom left right main site page global primary secondary col column row group links link form author body text meta icon title header head date time name s".split())
 MAIN_WORDS = frozenset("article content post entry story main body text maincontent articlebody".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 REPEATS = frozenset("li tr td th dd dt option".split())
@@ -48,70 +56,86 @@ REPEATS = frozenset("li tr td th dd dt option".split())
 PLAIN = frozenset("p li ul ol div span h1 h2 h3 h4 h5 h6 table tbody tr td th section dl dt dd blockquote pre figure html body".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: The labelled table. One block a row: words, link density, region (1 main, 0 open,
-#: -1 side matter), kind (0 other, 1 paragraph, 2 heading), words and link density before and after,
-#: whether the page marks a main region, and whether the block is main text.
+#: The labelled table. A line stands for blocks that are alike but for the values parted by bars: words, link
+#: density, kind (0 other, 1 paragraph, 2 heading), enclosing element (1 main, 0 open, -1 side matter), name (1
+#: main, 0 open, -1 weak or -2 strong hint of side matter), words/link density before and after, whether the page
+#: marks a main region, and whether the block is main text. The sets that many lines share have letters.
+SETS = {
+    "few": "1|2|4",
+    "some": "7|12|20|35|50",
+    "many": "60|80|150",
+    "line": "0/0|2/1|4/0",
+    "text": "12/0|30/0|50/0",
+    "long": "60/0|90/0|220/0",
+}
 LABELLED = """
-8 0 1 2 0 0 60 0 1 1
-60 0 1 1 8 0 45 0 1 1
-45 0.05 1 1 60 0 1 0 1 1
-1 0 1 1 45 0 30 0 1 1
-2 0 1 1 1 0 1 0 1 1
-1 0 1 0 2 0 80 0 1 1
-30 0.1 1 0 12 0 3 1 1 1
-12 0.5 1 1 30 0 25 0 1 1
-3 1 1 0 40 0 3 1 1 0
-4 1 1 0 3 1 4 1 1 0
-2 1 1 0 4 1 0 0 1 0
-6 0.9 1 0 50 0 5 1 1 0
-5 1 1 1 60 0 40 0 1 1
-9 1 1 1 30 0 20 0 1 1
-120 0 1 1 2 0 2 0 1 1
-3 0 1 2 120 0 2 0 1 1
-1 1 -1 0 0 0 1 1 1 0
-1 1 -1 0 1 1 1 1 0 0
-5 0 -1 1 60 0 1 0 1 0
-40 0 -1 1 90 0 20 0 1 0
-90 0.1 -1 1 40 0 60 0 1 0
-7 0.2 -1 2 80 0 30 0 0 0
-25 0 -1 0 10 0 5 0 0 0
-10 0 -1 0 0 0 10 0 1 0
-150 0 -1 1 150 0 150 0 0 0
-4 0 -1 1 4 0 4 0 0 0
-10 0 0 0 2 1 9 0 1 0
-35 0 0 1 60 0 6 0 1 0
-6 0 0 2 0 0 12 0 1 0
-2 1 0 0 2 1 2 1 1 0
-60 0.1 0 1 20 0 4 0 1 0
-1 0 0 1 10 0 3 0 1 0
-18 0 0 0 70 0 0 0 1 0
-8 0 0 2 1 1 50 0 0 1
-50 0 0 1 8 0 70 0 0 1
-70 0.1 0 1 50 0 2 0 0 1
-2 0 0 1 70 0 40 0 0 1
-1 0 0 1 40 0 1 0 0 1
-25 0 0 0 60 0 55 0 0 1
-16 0 0 0 30 0 28 0 0 1
-5 0 0 1 0 0 0 0 0 1
-3 0 0 1 3 0 90 0 0 1
-12 0 0 1 30 0 0 0 0 1
-40 0.2 0 0 0 0 0 0 0 1
-90 0 0 0 3 1 3 1 0 1
-2 1 0 0 0 0 2 1 0 0
-1 1 0 0 1 1 1 1 0 0
-3 1 0 0 60 0 3 1 0 0
-5 0.9 0 1 2 1 4 1 0 0
-14 0.8 0 0 10 0.9 12 0.9 0 0
-4 0 0 0 2 1 1 1 0 0
-3 0 0 0 1 1 8 1 0 0
-2 0 0 0 0 0 2 1 0 0
-6 0 0 0 40 0 2 1 0 0
-7 0.1 0 0 50 0 0 0 0 0
-5 0 0 0 3 1 9 0 0 0
-4 0 0 2 1 1 2 1 0 0
-9 0 0 2 2 1 45 0 0 1
-30 0.6 0 0 2 1 3 1 0 0
-20 0.5 0 1 6 1 5 1 0 0
+few|some|many 0|0.2 1|2 1 0 line|text|long line|text|long 1 1
+few|some|many 0|0.2 1|2 0 1 line|text|long line|text|long 1 1
+some|many 0|0.2 0 1 0 line|text|long line|text|long 1 1
+some|many 0|0.2 0 0 1 line|text|long line|text|long 1 1
+few 0|0.2 0 1 0 text|long line|text|long 1 1
+few 0|0.2 0 1 0 0/0|4/0 line|text|long 1 1
+few 0|0.2 0 1 0 2/1 0/0|4/0|text|long 1 1
+few 0|0.2 0 0 1 text|long line|text|long 1 1
+few 0 0 1 0 2/1 2/1 1 0
+7|12|25 0.5 1 1 0 40/0|3/1 30/0 1 1
+5|8 1 1 1 0 60/0 40/0 1 1
+2|4|8 1 0 1 0 line|text 2/1|0/0 1 0
+2|4|8 1 0 0 1 line|text 2/1|0/0 1 0
+3|6 0.9 0 1 0 40/0|3/1 5/1 1 0
+few|some 0|0.5|1 0|1|2 1 -2 line|text|long line|text|long 1 0
+many 0 0|1|2 1 -2 line|text line|text|long 1 0
+many 0 0|1|2 1 -2 long line|text 1 0
+many 0 0|1 1 -2 long long 1 1
+some|many 0 0|1 1 -1 line|text|long text|long 1 1
+some|many 0 0|1 1 -1 text|long line 1 1
+some 0 0|1 1 -1 line line 1 0
+few 0|0.5|1 0|1 1 -1 line|text|long line|text|long 1 0
+2|4 0 2 1 -1 text|long text|long 1 1
+some 0.6|1 0|1 1 -1 line|text line|text 1 0
+few|some 0|0.2|1 0|1|2 -1 0|-1|-2 line|text|long line|text|long 0|1 0
+many 0|0.1 0|1 -1 0|-1|-2 line|text line|text|long 0|1 0
+many 0|0.1 0|1 -1 0|-1|-2 long line|text 0|1 0
+many 0 0|1 -1 0|-1 long long 0|1 1
+few|some 0|0.2|1 0|1|2 0 -2 line|text|long line|text|long 0|1 0
+many 0|0.1 0|1 0 -2 line|text line|text|long 0|1 0
+many 0|0.1 0|1 0 -2 long line|text 0|1 0
+many 0 0|1 0 -2 long long 0|1 1
+20|35|50|many 0 0|1 0 -1 line|text|long text|long 0 1
+20|35|50|many 0 0|1 0 -1 text|long line 0 1
+7|12 0 0|1 0 -1 text|long text|long 0 1
+7|12 0 0|1 0 -1 line line|text|long 0 0
+few 0|0.5|1 0|1 0 -1 line|text line|text 0 0
+2|4|7 0 2 0 -1 0/0|2/1 text|long 0 1
+2|4|7 0 2 0 -1 text|long text|long 0 1
+some 0.6|1 0|1 0 -1 line|text line|text 0 0
+few|some 0|0.2|1 0|1|2 0 -1 line|text|long line|text|long 1 0
+many 0 0|1 0 -1 line|text line|text|long 1 0
+many 0 0|1 0 -1 long long 1 1
+few|some 0|0.2|1 0|1|2 0 0 line|text|long line|text|long 1 0
+many 0|0.1 0|1 0 0 line|text line|text|long 1 0
+many 0|0.1 0|1 0 0 long line|text 1 0
+many 0 0|1 0 0 long long 1 1
+7|12 0 2 0 0 0/0|2/1 12/0|30/0|50/0|long 0 1
+2|4 0 2 0 0 12/0|30/0|50/0|long 12/0|30/0|50/0|long 0 1
+20|35|50|many 0|0.1 0|1 0 0 line|text|long line|text|long 0 1
+7|12 0|0.1 0|1 0 0 text|long text|long 0 1
+7|12 0 1 0 0 text|long 0/0|2/1|4/0 0 1
+7|12 0 1 0 0 0/0|2/1 text|long 0 1
+few 0 1 0 0 text|long text|long 0 1
+few 0 1 0 0 0/0|4/0 text|long 0 1
+few 0 1 0 0 text|long 4/0 0 1
+4 0 1 0 0 0/0 0/0 0 1
+30 0.6 0 0 0 2/1 3/1 0 1
+20 0.5 1 0 0 6/1 5/1 0 1
+7|12 0|0.1 0 0 0 line line|text 0 0
+7|12 0 1 0 0 2/0|4/0 2/0|4/0 0 0
+7|12 0|0.1 0 0 0 text|long 0/0|2/1 0 0
+few|7 1|0.9 0 0 0 line|text|long line|text|long 0 0
+14 0.8 0 0 0 10/0.9 12/0.9 0 0
+few 0 0 0 0 line|text|long line 0 0
+few 0 0 0 0 line line|text|long 0 0
+4 0 2 0 0 2/1 2/1 0 0
 """
 
 
@@ -131,98 +155,122 @@ class Tree:
         return self.threshold[i] > 0.5
 
 
-def train_tree(rows: list[list[float]], depth: int = 8) -> Tree:
+def train_tree(rows: list[list[float]], depth: int = 24) -> Tree:
     """CART with Gini impurity; the last value of a row is its class. Ties go to the first feature and threshold."""
     feature: list[int] = []
     threshold: list[float] = []
     left: list[int] = []
     right: list[int] = []
+    x, y = np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows])
 
-    def gini(part) -> float:
-        p = sum(r[-1] for r in part) / len(part)
-        return len(part) * 2 * p * (1 - p)
+    def gini(n, p):
+        return 2 * p * (n - p) / np.maximum(n, 1)
 
-    def grow(part, d: int) -> int:
-        at = len(feature)
+    def grow(at: np.ndarray, d: int) -> int:
+        here = len(feature)
         for col in (feature, threshold, left, right):
             col.append(-1)
-        mean = sum(r[-1] for r in part) / len(part)
+        n, p = len(at), y[at].sum()
         best = None
-        if d and 0 < mean < 1:
-            for f in range(len(part[0]) - 1):
-                values = sorted({r[f] for r in part})
-                for a, b in zip(values, values[1:]):
-                    cut = (a + b) / 2
-                    lo, hi = [r for r in part if r[f] <= cut], [r for r in part if r[f] > cut]
-                    cost = gini(lo) + gini(hi)
-                    if best is None or cost < best[0] - 1e-12:
-                        best = (cost, f, cut, lo, hi)
-        if best is None or best[0] >= gini(part) - 1e-12:
-            threshold[at] = float(mean >= 0.5)
-            return at
-        _, feature[at], threshold[at], lo, hi = best
-        left[at], right[at] = grow(lo, d - 1), grow(hi, d - 1)
-        return at
-
-    grow(rows, depth)
+        if d and 0 < p < n:
+            for f in range(x.shape[1]):
+                order = at[np.argsort(x[at, f], kind="stable")]
+                values, ones = x[order, f], np.cumsum(y[order])
+                cuts = np.flatnonzero(values[1:] > values[:-1])
+                if not len(cuts):
+                    continue
+                gain = gini(n, p) - gini(cuts + 1, ones[cuts]) - gini(n - cuts - 1, p - ones[cuts])
+                k = int(gain.argmax())
+                if gain[k] > (best[0] if best else 1e-9) + 1e-12:
+                    best = (gain[k], f, (values[cuts[k]] + values[cuts[k] + 1]) / 2)
+        if best is None:
+            threshold[here] = float(p * 2 >= n)
+            return here
+        _, f, cut = best
+        feature[here], threshold[here] = f, float(cut)
+        low = x[at, f] <= cut
+        left[here], right[here] = grow(at[low], d - 1), grow(at[~low], d - 1)
+        return here
+
+    grow(np.arange(len(rows)), depth)
     return Tree(tuple(feature), tuple(threshold), tuple(left), tuple(right))
 
 
-#: Neighbours (words, link density) that the table's rows are repeated with where only the region decides.
-AROUND = ((0.0, 0.0), (1.0, 0.0), (3.0, 1.0), (30.0, 0.0), (80.0, 0.0))
+FEATURES = ("words", "links", "kind", "element", "name", "words_before", "links_before", "words_after", "links_after", "marked")
 
 
 def labelled_rows() -> list[list[float]]:
-    """The labelled table. Rows in a main or side region, or in an open one of a page that marks its main
-    region, say the same whatever stands around them, and so are repeated with all neighbours of AROUND."""
-    rows = [[float(v) for v in line.split()] for line in LABELLED.split("\n") if line.strip()]
-    fixed = [r for r in rows if r[2] or r[8]]
-    return rows + [[*r[:4], *a, *b, marked, r[9]] for r in fixed for a in AROUND for b in AROUND for marked in ((0.0, 1.0) if r[2] else (1.0,))]
-
-
-def region_of(name: str, attrs: str, parent: int) -> int:
-    """Region of an element: -2 never text, -1 side matter, 0 open, 1 main text."""
-    if parent < 0:
-        return -2 if name in NEVER else parent
-    if name in NEVER:
-        return -2
-    if name in BOILER_TAGS:
-        return -1
-    own = 1 if name in MAIN_TAGS else parent
-    if name == "header" and own < 1:
-        return -1
+    """Features and class of every block of the labelled table."""
+    rows = []
+    for line in LABELLED.split("\n"):
+        named = re.sub("|".join(SETS), lambda m: SETS[m[0]], line)
+        for one in itertools.product(*(v.split("|") for v in named.split())):
+            if one:
+                rows.append([float(v) for part in one for v in part.split("/")])
+    return rows
+
+
+def hint_of(value: str) -> int:
+    """What a class or id says: a name counts as strong if it is made of side matter and neutral words only."""
+    found = 0
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        side = [w for w in words if w in BOILER_WORDS]
+        if side and all(w in BOILER_WORDS or w in NEUTRAL_WORDS for w in words):
+            return -2
+        if side or any(w in WEAK_WORDS for w in words):
+            found = -1
+        elif not found and any(w in MAIN_WORDS for w in words):
+            found = 1
+    return found
+
+
+HIDDEN = (-2, 0)
+
+
+def region_of(name: str, attrs: str, parent: tuple[int, int]) -> tuple[int, int]:
+    """(element, name) hints inside an element; HIDDEN is never text. The nearest element that says something
+    counts; one that marks main text takes back what the names around it say."""
+    if parent == HIDDEN or name in NEVER:
+        return HIDDEN
+    element, named = parent
+    if name in BOILER_TAGS or name == "header" and element < 1:
+        element = -1
+    elif name in MAIN_TAGS:
+        element, named = 1, min(0, named) if parent[0] == 1 else 0
     if attrs and ("=" in attrs or "hidden" in attrs):
-        words: set[str] = set()
+        hints = []
         for key, a, b, c, bare in ATTR.findall(attrs):
             key, value = (key or bare).lower(), a or b or c
             if key in ("class", "id"):
-                words.update(w.lower() for w in WORDS.findall(value))
+                hints.append(hint_of(value))
             elif key == "role":
                 role = value.strip().lower()
-                if role in BOILER_ROLES:
-                    return -1
-                own = 1 if role in ("main", "article") else own
+                element = -1 if role in BOILER_ROLES else 1 if role in ("main", "article") else element
             elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower() or key == "aria-hidden" and value == "true":
-                return -1
-        if name not in ("html", "body"):
-            if words & BOILER_WORDS:
-                return -1
-            if own == 0 and words & MAIN_WORDS and name not in INLINE:
-                own = 1
-    return own
-
-
-def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
+                return HIDDEN
+        if hints and name not in ("html", "body"):
+            own = min(hints) if min(hints) < 0 else max(hints)
+            if own < 0:
+                # a weak hint does not weaken a strong one around it
+                named = min(named, own) if named < 0 else own
+            elif own and name not in INLINE:
+                named = own if named > -2 else named
+    return element, named
+
+
+def blocks_of(page: str) -> list[tuple[str, int, float, tuple[int, int], int]]:
     """(text, words, link density, region, kind) of each non-empty text block, in page order."""
-    out: list[tuple[str, int, float, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, region, kind
-    region = kind = links = pos = 0
+    out: list[tuple[str, int, float, tuple[int, int], int]] = []
+    stack: list[tuple[str, tuple[int, int], int]] = []  # name, region, kind
+    region = (0, 0)
+    kind = links = pos = 0
     parts: list[str] = []
     linked: list[str] = []
     unescape = entities.unescape
 
     def flush() -> None:
-        if region > -2 and (words := "".join(parts).split()):
+        if region != HIDDEN and (words := "".join(parts).split()):
             n = len(words)
             out.append((" ".join(words), n, min(1.0, len("".join(linked).split()) / n) if linked else 0.0, region, kind))
         parts.clear()
@@ -238,7 +286,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
     def close(i: int) -> None:
         nonlocal region, kind
         del stack[i:]
-        region, kind = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+        region, kind = (stack[-1][1], stack[-1][2]) if stack else ((0, 0), 0)
 
     for m in TAG.finditer(page):
         if (at := m.start()) > pos:
@@ -311,16 +359,26 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
     return out
 
 
-def extract(page: str | None, tree: Tree) -> str:
-    """Main text of one page."""
-    blocks = blocks_of(page) if page else []
-    marked = float(any(b[3] == 1 for b in blocks))
+def described(page: str) -> list[tuple[str, tuple[float, ...]]]:
+    """(text, FEATURES) of every block."""
+    blocks = blocks_of(page)
+    marked = float(any(1 in b[3] for b in blocks))
     out, last = [], len(blocks) - 1
     for i, (text, n, density, region, kind) in enumerate(blocks):
         before, after = blocks[i - 1][1:3] if i else (0, 0.0), blocks[i + 1][1:3] if i < last else (0, 0.0)
-        if tree((n, density, region, kind, *before, *after, marked)):
-            out.append(text)
-    return "\n".join(out)
+        out.append((text, (n, density, kind, *region, *before, *after, marked)))
+    return out
+
+
+def extract(page: str | None, tree: Tree) -> str:
+    """Main text of one page."""
+    return "\n".join(text for text, x in described(page) if tree(x)) if page else ""
+
+
+def decided_against(page: str, tree: Tree) -> int:
+    """Blocks whose decision is not what their hints alone say: main text inside a main element or name and
+    outside of side matter, or anywhere outside of side matter if the page marks no main region."""
+    return sum(tree(x) != (x[3] >= 0 and x[4] >= 0 and (1 in x[3:5] or not x[-1])) for _, x in described(page))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
