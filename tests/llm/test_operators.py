@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -346,12 +347,66 @@ def test_pii_base():
         assert pii.detect(text) == brute_pii(text)
 
 
-@pytest.mark.parametrize("text, kind, shown", [("to john (at) mail dot com now", "email", "john (at) mail dot com"), ("jоhn@hоst.com", "email", "jоhn@hоst.com"), ("plus four nine one seven six five five five one two", "phone", "plus four nine one seven six five five five one two"), ("at 192 dot 168 dot 1 dot 10 ok", "ip", "192 dot 168 dot 1 dot 10"), ("meet at example.com", None, None), ("one two three", None, None)])
+@pytest.mark.parametrize("text, kind, shown", [("to john (at) mail dot com now", "email", "john (at) mail dot com"), ("jоhn@hоst.com", "email", "jоhn@hоst.com"), ("plus four nine one seven six five five five one two", "phone", "plus four nine one seven six five five five one two"), ("at 192 dot 168 dot 1 dot 10 ok", "ip", "192 dot 168 dot 1 dot 10"), ("john_at_mail.com", "email", "john_at_mail.com"), ("a john arroba mail.com", "email", "john arroba mail.com"), ("(one two three four five six plus one two three four five six seven eight nine zero)", "phone", "plus one two three four five six seven eight nine zero"), ("is one nine two dot one six eight dot zero dot one ok", "ip", "one nine two dot one six eight dot zero dot one"), ("IP One-Nine-Two.168.zero.1.", "ip", "One-Nine-Two.168.zero.1"), ("jane  [ at ]  host [dot] org", "email", "jane  [ at ]  host [dot] org"), ("un deux trois", None, None), ("meet at example.com", None, None), ("one two three", None, None)])
 def test_pii_disguises(text, kind, shown):
     base, spans = pii.find_pii(text, pii.Deobfuscator())
     assert base == [] and [(pii.KINDS[k], text[s:e]) for s, k, e in spans] == ([(kind, shown)] if kind else [])
 
 
+def test_pii_finds_stand_alone():
+    """Disguises are found whatever else the text holds; base spans stay and are the brute force's."""
+    r, rewriter = random.Random(13), pii.Deobfuscator()
+    shown = ["john_at_mail.com", "ann arroba mail.org", "bob (at) x.net", "cy [at] y [dot] org", "jоhn@hоst.com", "ten dot 1 dot 2", "192 dot 168 dot 1 dot 10", "one two dot one dot one dot nine", "plus four nine one seven six five five five one two"]
+    alone = {t: pii.find_pii(t, rewriter)[1] for t in shown}
+    assert sum(map(len, alone.values())) == len(shown) - 1
+    for _ in range(300):
+        parts = [r.choice([*shown, "plain words here", "a@b.cd", "(", "one", "dot", "4539578763621486", "é"]) for _ in range(r.randint(1, 8))]
+        text, at, want = "", 0, []
+        for p in parts:
+            want += [(s + len(text), k, e + len(text)) for s, k, e in alone.get(p, [])]
+            text += p + " ;\n; "
+        base, spans = pii.find_pii(text, rewriter)
+        assert base == brute_pii(text) and set(want) <= set(spans) and set(base) <= set(spans)
+
+
+@pytest.mark.parametrize("text", ["x dot y" + " " * 1_000_000, "(" * 1_000_000, "( " * 500_000, "(" + " " * 999_999, "1" * 1_000_000, "1 " * 500_000, "@" * 1_000_000, "a@" * 500_000, "one " * 250_000, "+1" + " " * 999_998, "1." * 500_000, "plus" + "-" * 999_996, "at " * 333_333, "_at" * 333_333], ids=range(14))
+def test_pii_is_linear(text):
+    rewriter = pii.Deobfuscator()
+    began = time.process_time()
+    pii.find_pii(text, rewriter)
+    assert time.process_time() - began < 4  # a second or less on an idle machine; a quadratic scan takes hours
+
+
+def query_rows(spark, tmp_path, name, rows, more=()):
+    """A registered query over a small documents table with extra columns of clashing names."""
+    path = tmp_path / f"{name}-{len(rows)}"
+    spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS spans", "2 AS score", "3 AS base_sha256", "4 AS held_out", "5 AS id").write.parquet(str(path / "documents.parquet"))
+    for table, df in more:
+        df.write.parquet(str(path / f"{table}.parquet"))
+    return registry.QUERIES[name](spark, str(path))
+
+
+def digest(kinds, spans):
+    return hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
+def test_pii_query(spark, tmp_path):
+    r = random.Random(14)
+    parts = ["a", "b.c", "@", "d.ee", "1", "255", ".", "+", "49 170", " ", "(at)", " dot ", "é", "12345678", "4539578763621486", "x@y.z", "\n"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 60))), "en", "a", 1) for i in range(200)]
+    rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (None, "x@y.z", "en", "a", 5), rows[0], (302, "1.2.3.4 " * 20_000, "en", "a", 1)]
+    got = query_rows(spark, tmp_path, "op8_pii", rows).collect()
+    want = []
+    for i, text, *_ in rows:
+        base = brute_pii(text or "")
+        want.append((i, *(sum(x[1] == k for x in base) for k in range(4)), digest(pii.KINDS, base)))
+    assert sorted((tuple(r)[:6] for r in got), key=str) == sorted(want, key=str)
+    for row in got:
+        spans = [x.split(":") for x in row["spans"].split(",") if x]
+        assert [(int(s), pii.KINDS.index(k)) for k, s, _ in spans] == sorted((int(s), pii.KINDS.index(k)) for k, s, _ in spans)
+    assert query_rows(spark, tmp_path, "op8_pii", []).count() == 0
+
+
 def test_pii_edges(spark):
     assert pii.scan_pii(edge_docs(spark)).count() == 6
     assert pii.find_pii(None, pii.Deobfuscator()) == ([], [])

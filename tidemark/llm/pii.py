@@ -1,9 +1,11 @@
 """Personal-data detection with offset-preserving deobfuscation.
 
 The four detectors run on the text itself (base spans). A transducer then rewrites homoglyphs, spelled
-digits and at/dot disguises and keeps, for every character it emits, the source span it came from; the
-same detectors run on the rewritten text and their finds are mapped back to source characters. A mapped
-find is added if a rewrite lies inside it and no base span of its kind overlaps it.
+digits and addresses and at/dot disguises and keeps, for every character it emits, the source span it came from;
+the same detectors run on the rewritten text and their finds are mapped back to source characters. A mapped
+find is added if a rewrite lies inside it and no base span of its kind overlaps it. Whether a text is rewritten
+at all is told by what every rewrite needs, so a find does not depend on other parts of the text, and every
+pattern takes time in proportion to the text.
 
 Defined results: a null text is empty; a text without finds has zero counts, no spans and the hash of the
 empty string; equal starts are ordered by kind; base spans are never changed or removed; rows with equal
@@ -116,31 +118,38 @@ DIGIT_WORDS = {
 }
 NUMBER = "|".join(sorted((w for w in DIGIT_WORDS if w != "plus"), key=lambda w: (-len(w), w)))
 #: A run of spelled digits, mixed with written ones: at least three, so that prose with a lone number word is let be.
-SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{NUMBER}|[0-9]+)(?:[ .-]+|(?!\w))){{3,}}", re.I)
+SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]++)?(?:(?:{NUMBER}|[0-9]++)(?:[ .-]++|(?!\w))){{3,}}", re.I)
 SPELLED_ITEM = re.compile(rf"(?:plus[ -]+)|(?:{NUMBER})", re.I)
-#: at and dot signs in brackets, or as words between spaces.
+#: An address in groups of one to three spelled or written digits, parted by dots or words for them.
+GROUP = rf"(?:{NUMBER}|[0-9]{{1,3}})(?:[ -](?:{NUMBER}|[0-9])(?!\w)){{0,2}}"
+DOTTED = r"(?:[ \t]{1,8}(?:dot|punkt|punto|point)[ \t]{1,8}|[ \t]?\.[ \t]?)"
+SPELLED_IP = re.compile(rf"(?<!\w){GROUP}(?:{DOTTED}{GROUP}){{3}}(?!\w)", re.I)
+SPELLED_IP_PART = re.compile(rf"(?P<dot>{DOTTED})|(?P<digit>{NUMBER})|(?P<gap>[ -]+)", re.I)
+#: at and dot signs in brackets, as words between spaces, or between bars.
 HIDDEN = re.compile(
-    r"\s*(?:[\[({<]\s*(?:(?P<at>at|@|arroba|ät)|(?P<dot>dot|punkt|point|punto|\.))\s*[\])}>])\s*"
-    r"|[ \t]+(?:(?P<at_word>at|arroba)|(?P<dot_word>dot|punkt|punto))[ \t]+"
-    r"|[ \t]*_(?:(?P<at_bar>at)|(?P<dot_bar>dot))_[ \t]*",
+    r"[\[({<]\s*+(?:(?P<at>at|@|arroba|ät)|(?P<dot>dot|punkt|point|punto|\.))\s*+[\])}>]"
+    r"|(?<=[ \t])(?:(?P<at_word>at)|(?P<at_sure>arroba)|(?P<dot_word>dot|punkt|punto))(?=[ \t])"
+    r"|_(?:(?P<at_bar>at)|(?P<dot_bar>dot))_",
     re.I,
 )
-#: Least a text must hold for a rewrite to matter.
-HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|punkt|point|punto|\.)\s*[\])}>]|[ \t_](?:dot|punkt|punto)[ \t_]")
-HINT_PARTS = ("dot", "punkt", "punto", "(", "[", "{", "<")
-BREAKS = str.maketrans("-.,", "   ")
-
-
-def counted(low: str) -> bool:
-    """Whether three number words or numbers, one at least spelled, follow each other."""
-    words = low.translate(BREAKS).split()
-    if DIGIT_WORDS.keys().isdisjoint(words):
+#: What each disguise but the bare word "at" holds; that word alone changes nothing.
+HIDDEN_PARTS = ("dot", "punkt", "punto", "arroba", "_at_", "(", "[", "{", "<")
+SURE = re.compile(HIDDEN.pattern.replace("(?P<at_word>at)|", ""), re.I)
+#: Number words as their ASCII pieces, and ASCII signs and all other bytes as blanks.
+PIECES = frozenset(p.encode() for w in DIGIT_WORDS for p in re.split(r"[^a-z]", w) if p)
+BLANKED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+
+
+def counted(text: str) -> bool:
+    """False only if no three number words or numbers, one at least spelled, follow each other."""
+    words = text.encode("utf-8", "replace").translate(BLANKED).split()
+    if PIECES.isdisjoint(words):
         return False
     run = spelled = 0
     for w in words:
-        if w in DIGIT_WORDS:
+        if w in PIECES:
             spelled = 1
-        elif not w.isdigit():
+        elif not w.isdigit() and w not in DOT_WORDS:
             run = spelled = 0
             continue
         run += 1
@@ -149,6 +158,9 @@ def counted(low: str) -> bool:
     return False
 
 
+DOT_WORDS = frozenset((b"dot", b"punkt", b"punto", b"point"))
+
+
 class Deobfuscator:
     """The composed transducers. rewrite() gives the text and, per character, source start, source end and rewrite mark."""
 
@@ -156,23 +168,28 @@ class Deobfuscator:
         self.signs = table()
 
     def needed(self, text: str) -> bool:
-        """False only if no rewrite could apply."""
-        low = text.lower()
-        if not low.isascii() and not self.signs.keys().isdisjoint(set(text)):
+        """False only if no rewrite that matters applies."""
+        if not text.isascii() and not self.signs.keys().isdisjoint(set(text)):
             return True
-        return any(p in low for p in HINT_PARTS) and bool(HINT.search(text)) or counted(low)
+        low = text.lower()
+        return any(p in low for p in HIDDEN_PARTS) and bool(SURE.search(text)) or counted(text)
 
     def rewrite(self, text: str) -> tuple[str, list[int], list[int], list[int]]:
-        chars, starts, ends, marks = [], [], [], []
-        for i, c in enumerate(text):
-            r = c if c.isascii() else self.signs.get(c, c)
-            if r:
-                chars.append(r)
-                starts.append(i)
-                ends.append(i + 1)
-                marks.append(0 if r == c else 1)
-        flat = "".join(chars)
-        for step in (self._spelled, self._hidden):
+        n = len(text)
+        if text.isascii():
+            flat, starts, ends, marks = text, list(range(n)), list(range(1, n + 1)), [0] * n
+        else:
+            chars, starts, ends, marks = [], [], [], []
+            get = self.signs.get
+            for i, c in enumerate(text):
+                r = get(c, c)
+                if r:
+                    chars.append(r)
+                    starts.append(i)
+                    ends.append(i + 1)
+                    marks.append(0 if r == c else 1)
+            flat = "".join(chars)
+        for step in (self._addresses, self._spelled, self._hidden):
             flat, starts, ends, marks = self._apply(step(flat), flat, starts, ends, marks)
         return flat, starts, ends, marks
 
@@ -194,6 +211,15 @@ class Deobfuscator:
         out.append(flat[at:])
         return "".join(out), s2 + starts[at:], e2 + ends[at:], m2 + marks[at:]
 
+    @staticmethod
+    def _addresses(flat: str) -> Iterator[tuple[int, int, str, int]]:
+        """Spelled addresses: groups lose their gaps, words for dots become dots."""
+        for run in SPELLED_IP.finditer(flat):
+            parts = list(SPELLED_IP_PART.finditer(flat, run.start(), run.end()))
+            if any(m["digit"] for m in parts):
+                for m in parts:
+                    yield m.start(), m.end(), "." if m["dot"] else DIGIT_WORDS[m["digit"].lower()] if m["digit"] else "", 18
+
     @staticmethod
     def _spelled(flat: str) -> Iterator[tuple[int, int, str, int]]:
         for run in SPELLED.finditer(flat):
@@ -203,11 +229,20 @@ class Deobfuscator:
 
     @staticmethod
     def _hidden(flat: str) -> Iterator[tuple[int, int, str, int]]:
+        """Disguises between signs of an address, with the blanks around them; these are looked through outwards
+        from the disguise, and not beyond the one before."""
+        last, n = 0, len(flat)
         for m in HIDDEN.finditer(flat):
-            if 0 < m.start() and m.end() < len(flat) and flat[m.start() - 1] in LOCAL and flat[m.end()] in LOCAL:
-                at = m["at"] or m["at_word"] or m["at_bar"]
-                weak = m["at_word"] is not None
-                yield m.start(), m.end(), "@" if at else ".", 4 if weak else 8 if at else 16
+            a, b = m.span()
+            blank = str.isspace if m["at"] or m["dot"] else " \t".__contains__
+            while a > last and blank(flat[a - 1]):
+                a -= 1
+            while b < n and blank(flat[b]):
+                b += 1
+            if last <= a and 0 < a and b < n and flat[a - 1] in LOCAL and flat[b] in LOCAL:
+                at = m["at"] or m["at_word"] or m["at_sure"] or m["at_bar"]
+                yield a, b, "@" if at else ".", 4 if m["at_word"] else 8 if at else 16
+            last = max(last, b)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Finds that only the rewritten text shows, in source characters."""
