@@ -240,6 +240,35 @@ def test_secrets():
     assert [secret_scan.RULES[k].kind for _, k, _ in secret_scan.Secrets().spans(["ghp_" + "A" * 36])[0]] == ["github"]
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 333_333 + ".eyJ", "eyJa.eyJ" * 125_000, "gh" * 500_000, "AKIA" * 250_000, "password" * 125_000, "a" * 1_000_000, "password = " * 90_000, "-----BEGIN " * 90_000, "token:" + " " * 999_994], ids=range(9))
+def test_secrets_are_linear(text):
+    secrets = secret_scan.Secrets()
+    began = time.process_time()
+    found = secrets.spans([text])[0]
+    assert time.process_time() - began < 8  # about a second on an idle machine; restarts at every byte take hours
+    assert [x for x in found if x[1] < secret_scan.BASE] == brute_secrets(text)
+
+
+def test_secret_query(spark, tmp_path):
+    r = random.Random(15)
+    parts = ["password", "token", "api_key", "'", " ", ":", "=", "AKIA", "Z9", "f", "a1b2c3d4e5f60718", "é", "\n", "abcdefghijkl", "ghp_" + "A" * 36, "eyJhbGciOi.eyJzdWIiOi.abcdefghijklmnopqrst"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 80))), "en", "a", 1) for i in range(200)]
+    rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (None, "AKIA" + "Q" * 20, "en", "a", 5), rows[0], (302, "secret=abcdefabcdefabcdef, " * 20_000, "en", "a", 1)]
+    kinds = [x.kind for x in secret_scan.RULES]
+    want = []
+    for i, text, *_ in rows:
+        base = brute_secrets(text or "")
+        want.append((i, *(sum(x[1] == k for x in base) for k in range(3)), digest(kinds, base)))
+    got = query_rows(spark, tmp_path, "op5_secret_scan", rows).collect()
+    assert sorted((tuple(x)[:5] for x in got), key=str) == sorted(want, key=str)
+    for row in got:
+        spans = [x.split(":") for x in row["spans"].split(",") if x]
+        base = [(int(s), kinds.index(k), int(e)) for k, s, e in spans if kinds.index(k) < 3]
+        assert digest(kinds, base) == row["base_sha256"] and spans == sorted(spans, key=lambda x: (int(x[1]), kinds.index(x[0])))
+    assert any("jwt" in row["spans"] for row in got) and any("github" in row["spans"] for row in got)
+    assert query_rows(spark, tmp_path, "op5_secret_scan", []).count() == 0
+
+
 def test_automaton_minimal():
     assert len(automaton.compile_rules(["ab|ac"], anywhere=False).table) == len(automaton.compile_rules(["a[bc]"], anywhere=False).table)
     dfa = automaton.compile_rules(["(?i)x{2,3}y?"], anywhere=False)

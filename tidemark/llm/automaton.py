@@ -119,6 +119,16 @@ class _Parser:
         return frozenset(set(range(256)) - chars if negated else chars)
 
 
+def _mirrored(node):
+    """The tree of the reversed texts."""
+    kind = node[0]
+    if kind == "seq":
+        return ("seq", [_mirrored(x) for x in reversed(node[1])])
+    if kind == "or":
+        return ("or", [_mirrored(x) for x in node[1]])
+    return ("rep", _mirrored(node[1]), *node[2:]) if kind == "rep" else node
+
+
 def _build(nfa: _Nfa, node, start: int) -> int:
     """Add node after state start; returns its end state."""
     kind = node[0]
@@ -176,6 +186,17 @@ class Dfa:
                 best = i + 1
         return best
 
+    def starts(self, data: bytes, start: int, end: int) -> list[int]:
+        """Places where a match begins, in falling order, told by one pass backwards. For an automaton of the
+        reversed texts that accepts anywhere."""
+        q, out = 0, []
+        table, accepts, classes = self.table, self.accepts, self.classes
+        for i in range(end - 1, start - 1, -1):
+            q = table[q][classes[data[i]]]
+            if accepts[q]:
+                out.append(i)
+        return out
+
     def seen(self, data: bytes, start: int, end: int) -> int:
         """Mask of the rules accepted anywhere in one pass."""
         q, mask = 0, 0
@@ -191,10 +212,11 @@ class Dfa:
         return np.array([back[c] for c in self.classes], dtype=bool)
 
 
-def compile_rules(rules: list[str], anywhere: bool) -> Dfa:
+def compile_rules(rules: list[str], anywhere: bool, mirrored: bool = False) -> Dfa:
     """One minimal automaton for all rules: subset construction over byte classes, then partition refinement.
 
-    anywhere: a match may begin at any byte (the start set is kept alive), else only at the first.
+    anywhere: a match may begin at any byte (the start set is kept alive), else only at the first. mirrored: the
+    automaton reads texts from their end.
     """
     nfa = _Nfa()
     first = nfa.state()
@@ -202,7 +224,8 @@ def compile_rules(rules: list[str], anywhere: bool) -> Dfa:
     for k, rule in enumerate(rules):
         a = nfa.state()
         nfa.empty[first].append(a)
-        finals[_build(nfa, _Parser(rule).parse(), a)] = 1 << k
+        tree = _Parser(rule).parse()
+        finals[_build(nfa, _mirrored(tree) if mirrored else tree, a)] = 1 << k
     sets = sorted({s for steps in nfa.steps for s, _ in steps}, key=sorted)
     signature: dict[tuple, int] = {}
     classes = bytearray(256)

@@ -1,9 +1,9 @@
 """Secret scans with one combined deterministic automaton.
 
 All rules are compiled by subset construction and minimisation into one transition array over byte
-classes; one pass over the bytes finds the stretches with any hit. Inside such a stretch the rules' own
-automata give the leftmost non-overlapping matches, an exact check drops those that are too short, and
-byte offsets become code points. A private key's span goes on over its body, beyond the stretch, to the END
+classes; one pass over the bytes finds the stretches with any hit. Inside such a stretch the automaton of each
+rule that was seen, read backwards, tells where its matches begin, and read forwards where they end, so no byte
+is tried as a start in vain; an exact check drops matches that are too short, and byte offsets become code points. A private key's span goes on over its body, beyond the stretch, to the END
 line or, without one, to the end of its base64 lines.
 
 Defined results: a null text is empty; a text without finds has zero counts, no spans and the hash of the
@@ -86,6 +86,7 @@ class Secrets:
         self.rules = rules
         self.any: Dfa = compile_rules([r.hit for r in rules], anywhere=True)
         self.each: list[Dfa] = [compile_rules([r.whole], anywhere=False) for r in rules]
+        self.begin: list[Dfa] = [compile_rules([r.whole], anywhere=True, mirrored=True) for r in rules]
         self.scan = Scanner(self.any)
 
     def matches(self, data: bytes, start: int, end: int) -> Iterator[tuple[int, int, int]]:
@@ -93,15 +94,13 @@ class Secrets:
         mask = self.any.seen(data, start, end)
         for k, rule in enumerate(self.rules):
             if mask >> k & 1:
-                dfa, i = self.each[k], start
-                while i < end:
-                    stop = dfa.longest(data, i, end)
-                    if stop < 0:
-                        i += 1
+                dfa, done = self.each[k], start
+                for i in reversed(self.begin[k].starts(data, start, end)):
+                    if i < done:
                         continue
-                    if rule.fits(data[i:stop]):
-                        yield i, k, stop
-                    i = stop
+                    done = dfa.longest(data, i, end)
+                    if rule.fits(data[i:done]):
+                        yield i, k, done
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Per text (start, kind number, end) in code points, by start, then kind."""
