@@ -1,9 +1,11 @@
 """Brute-force twins and defined edge cases of the training-data operators."""
 
 import hashlib
+import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -342,14 +344,90 @@ def test_pieces_hold_their_text(spark):
 
 
 # languages
-def test_ppm_is_a_distribution():
+def brute_ppm(samples, text, order, alphabet):
+    """Bits of a text, byte by byte: escapes by method C, bytes seen in longer contexts excluded."""
+    counts = {}
+    for t in samples:
+        padded = b" " * order + t
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                seen = counts.setdefault((k, padded[i - k : i]), {})
+                seen[padded[i]] = seen.get(padded[i], 0) + 1
+    other = object()
+    known = lambda b: b if b in alphabet else other
+    padded, bits = b" " * order + text, 0.0
+    for i in range(order, len(padded)):
+        out, done = set(), False
+        for k in range(order, -1, -1):
+            seen = {b: c for b, c in counts.get((k, padded[i - k : i]), {}).items() if b not in out}
+            if not seen:
+                continue
+            base = sum(seen.values()) + len(seen)
+            if padded[i] in seen:
+                bits -= math.log2(seen[padded[i]] / base)
+                done = True
+                break
+            bits -= math.log2(len(seen) / base)
+            out |= set(seen)
+        if not done:
+            bits += math.log2(max(1, len(alphabet) + 1 - len(out)))
+    return bits, known
+
+
+def test_ppm_against_brute_force(monkeypatch):
+    r = random.Random(16)
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 5))) for _ in range(n))
+    samples = {"a": [say("abcd", 40) for _ in range(4)], "b": [say("cdeé", 40) for _ in range(3)], "c": ["x"]}
+    texts = [say("abcdeé", 30) for _ in range(6)] + ["x", "q", "日本 a"]
+    for order in (1, 3, 4, 5):
+        monkeypatch.setattr(language_id, "ORDER", order)
+        m = language_id.train(samples)
+        coded = {k: [language_id.prepared(t) for t in v] for k, v in samples.items()}
+        alphabet = {b for v in coded.values() for t in v for b in t} | {32}
+        got = m.lengths([language_id.prepared(t) for t in texts])
+        want = [[brute_ppm(coded[k], language_id.prepared(t), order, alphabet)[0] for k in m.languages] for t in texts]
+        assert np.allclose(got, want, atol=1e-3)
+    # the code lengths of all symbols after a context are a distribution
+    n = m.n_symbols
+    for context in r.sample(range(n**5), 20):
+        p = np.exp2(-language_id.code_bits(m.trees[0], context * n + np.arange(n), n))
+        assert abs(p.sum() - 1) < 1e-6
+
+
+def test_language_model_edges(monkeypatch):
     m = language_id.train({"a": ["abc abd abe " * 5], "b": ["xyz xyw" * 5]})
-    p = np.exp2(-m.cost.reshape(2, -1, m.n_symbols).astype(float)).sum(axis=2)
-    assert np.allclose(p, 1, atol=1e-4)
     assert [x[0] for x in m.predict(["abd abc", "xyw xyz", None, "", "12 !"])] == ["a", "b", "und", "und", "und"]
     assert language_id.train({}).predict(["abc"]) == [("und", 0.0)]
-    # a text's code length does not depend on its neighbours in the batch
-    assert np.allclose(m.lengths([b" abc", b" xyz abd"])[1], m.lengths([b" xyz abd"])[0])
+    # a text's code length does not depend on its neighbours in the batch, nor on how it is parted or remembered
+    one = m.lengths([b" xyz abd " * 500])[0]
+    assert np.allclose(m.lengths([b" abc", b" xyz abd " * 500])[1], one)
+    monkeypatch.setattr(language_id, "PART", 1000)
+    monkeypatch.setattr(language_id, "CACHE", 5)
+    again = language_id.train({"a": ["abc abd abe " * 5], "b": ["xyz xyw" * 5]})
+    assert np.allclose(again.lengths([b" abc", b" xyz abd " * 500])[1], one)
+
+
+def test_no_language_is_lost(spark, tmp_path):
+    r = random.Random(17)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "e'e": "uvwxyz"}
+    text = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(4)) for _ in range(n))
+    learned = [k for k in range(5000, 8000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, text("aa", 20), "aa", None, 1) for k in range(3000)] + [(4000 + k, text("bb", 20), "bb", "s", 1) for k in range(40)]
+    rows += [(k, text("cc", 9000), "cc", None, 1) for k in learned[:2]]  # long ones only
+    rows += [(learned[2], "pqrs tpqr srtp", "dd", None, 1)] * 3000 + [(learned[3], text("dd", 30), "dd", None, 1)]  # one row again and again
+    rows += [(k, text("e'e", 20), "e'e", None, 1) for k in learned[4:10]]
+    rows += [(8000, None, None, None, None), (8001, "12 34", None, "a", 0), (8002, "", "zz", "a", 0), (None, text("aa", 9), None, "b", 10), (8003, text("bb", 40_000), None, None, 1)]
+    got = query_rows(spark, tmp_path, "op7_language_id", rows)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    out = {}
+    for row in got.collect():
+        out.setdefault(row["doc_id"], []).append(row)
+    assert sum(map(len, out.values())) == len(rows) and len(out[learned[2]]) == 3000
+    for i, _, lang, _, _ in rows[: -5]:
+        assert all(x["lang_pred"] == lang for x in out[i])
+    assert [out[i][0]["lang_pred"] for i in (8000, 8001, 8002, None, 8003)] == ["und", "und", "und", "aa", "bb"]
+    assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1 if i is not None else False) and 0 <= x["score"] <= 1 for i, xs in out.items() for x in xs)
+    assert query_rows(spark, tmp_path, "op7_language_id", []).count() == 0
 
 
 def test_language_query(spark):
