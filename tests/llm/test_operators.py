@@ -715,6 +715,81 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
 
 
+def toxic_case(r, n):
+    """Documents of plain words, one in six with insults whose endings vary; labels, some repeated or unknown."""
+    clean = "the cat sat on a mat and then went home to eat some fish with milk".split()
+    rows, labels = [], []
+    for i in range(n):
+        words = [r.choice(clean) for _ in range(r.randint(5, 80))]
+        if i % 6 == 0:
+            at = r.randrange(len(words))
+            words[at:at] = [r.choice(["vilest", "wretch"]) + r.choice(["", "ed", "ing"]) for _ in range(3)]
+        rows.append((i, " ".join(words), "en", "a", 1))
+        labels.append((i, 0, int(i % 6 == 0)))
+    return rows, [*labels, labels[0], (None, 0, 1), (5, 0, None)]
+
+
+def test_toxicity_query(spark, tmp_path):
+    rows, labels = toxic_case(random.Random(18), 600)
+    odd = [(9000, None, None, None, None), (9001, "", "en", "a", 0), (9002, " . ", "en", "a", 0), (None, "vilest wretch vilest", "en", "b", 1), rows[0], (9003, "the cat " * 40_000, None, "a", 1), (9004, "vilesting " * 30_000, None, "a", 1)]
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").selectExpr("*", "'x' AS text", "1 AS id")
+    got = query_rows(spark, tmp_path, "op10_toxicity", rows + odd, [("labels", known)])
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    out = {}
+    for row in got.collect():
+        out.setdefault(row["doc_id"], []).append(row)
+        assert row["predicted"] == int(row["score"] >= 0.3) and 0 <= row["score"] <= 1
+        assert row["held_out"] == (row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 4 == 2)
+    assert sum(map(len, out.values())) == len(rows) + len(odd) and len(out[0]) == 2
+    assert all(out[i][0]["predicted"] == int(i % 6 == 0) for i in range(600))
+    assert [out[i][0]["predicted"] for i in (9000, 9001, 9002, None, 9003, 9004)] == [0, 0, 0, 1, 0, 1]
+    none = [("labels", known.limit(0))]
+    assert query_rows(spark, tmp_path, "op10_toxicity", [], none).count() == 0
+    assert {x["score"] for x in query_rows(spark, tmp_path, "op10_toxicity", rows[:9], none).collect()} == {0.0}
+
+
+def test_toxicity_model_against_brute_force(spark):
+    """Log-odds and scores of the fitted model, worked out again from the texts alone."""
+    from pyspark.sql import functions as F
+
+    rows, labels = toxic_case(random.Random(19), 240)
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, known, F.lit(True))
+    texts = {i: (t.split(), i % 6 == 0) for i, t, *_ in rows}
+    n = {k: sum(len(w) for w, toxic in texts.values() if toxic == k) for k in (False, True)}
+    held = {}
+    for words, toxic in texts.values():
+        of = {}
+        for w in words:
+            for u in {w} | {w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k}:
+                of[u] = of.get(u, 0) + 1
+        for u, c in of.items():
+            d = held.setdefault(u, {False: [0, 0], True: [0, 0]})[toxic]
+            d[0] += 1
+            d[1] += min(c, toxicity.CLIP)
+    want = {}
+    for u, d in held.items():
+        if d[False][0] + d[True][0] < toxicity.SUPPORT:
+            continue
+        share = (d[False][1] + d[True][1]) / (n[False] + n[True])
+        rate = {k: (d[k][1] + toxicity.PRIOR * share + toxicity.FLOOR) / (n[k] + toxicity.PRIOR) for k in d}
+        odds = math.log(rate[True] / rate[False]) - toxicity.CAUTION * math.sqrt(sum(1 / (d[k][0] + 0.5) for k in d))
+        if odds >= toxicity.LEAST:
+            want[u] = odds
+    assert model.odds.keys() == want.keys() and want and all(abs(model.odds[u] - v) < 1e-9 for u, v in want.items())
+    for words, _ in list(texts.values())[:40]:
+        values = [max([model.odds.get(w, 0.0)] + [model.odds.get(w[:k] + "*", 0.0) for k in toxicity.PREFIXES if len(w) > k]) or toxicity.DRIFT for w in words]
+        segments = brute_segments(values) if len(words) < 40 else [(s.start, s.end, s.score) for s in toxicity.maximal_segments([(i, i + 1, v) for i, v in enumerate(values)])]
+        found = model.score(" ".join(words))
+        assert [(s.start, s.end) for s in found[1]] == [x[:2] for x in segments]
+        level = math.log(max(1.0, model.scale * len(words)))
+        normal = [model.rate * x[2] - level for x in segments] or [-level]
+        total = sum(x for x in normal if x > 0) or max(normal)
+        a, b, c = model.weights
+        z = a * math.copysign(math.log1p(abs(total)), total) + b * max((x[2] for x in segments), default=0.0) + c
+        assert abs(found[0] - 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))) < 1e-9
+
+
 # pipeline
 def test_pipeline(spark):
     import corpus_pipeline

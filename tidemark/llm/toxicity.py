@@ -1,23 +1,28 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Units are words and their first 4 to 6 letters. From labelled documents every unit gets the log-odds of its
-document share in toxic against clean documents, with a Dirichlet prior that is proportional to the unit's
-share overall. A token scores the largest log-odds of its units, or a small negative drift. A linear-time
-scan finds all maximal scoring segments of a text; under the clean model their scores follow an extreme
-value law, E = K n exp(-lambda S), whose lambda and K are estimated on the clean training documents. The
-significant segments' normalised scores are summed and a logistic curve, fitted on the training sample,
-turns the sum and the best segment into the probability of label 1.
-
-Training reads a sample of at most TOXIC_DOCS and CLEAN_DOCS labelled documents, picked by a hash of the id.
+Units are words and their first 4 to 7 letters. From labelled documents every unit gets the log-odds of its
+rate among the tokens of toxic against those of clean documents, with a Dirichlet prior that is proportional
+to the unit's rate overall, less CAUTION standard errors, which follow from the documents that hold it: tokens
+of one document are no independent witnesses. A unit counts from LEAST on. One rule holds at every size of
+the sample: few documents make large errors. A token scores the largest log-odds of its units, or a small
+negative drift. A linear-time scan finds all maximal scoring segments of a text; under the clean model their
+scores follow an extreme value law, E = K n exp(-lambda S), whose lambda and K are estimated on the clean
+training documents. The significant segments' normalised scores are summed and a logistic curve, fitted on
+the training sample, turns the sum and the best segment into the probability of label 1.
+
+Training reads a sample of at most TOXIC_DOCS and CLEAN_DOCS labelled documents, picked by a hash of the id;
+the driver gets the units that count, a histogram of token scores and three numbers a sampled document.
 
 Defined results: null, blank and wordless texts have no segment and get the curve's value there; a null id
 is not held out (its fold is unknown) and does not train; with no labelled toxic or clean document every
-score is 0; repeated labels of one id count once, by their largest; extra columns are ignored.
+score is 0; repeated labels of one id count once, by their largest; extra columns are ignored; an empty table
+gives an empty answer.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,18 +30,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLOTS, Columns, arrow_rows, fold, slot, written
+from .common import SLOTS, Columns, arrow_rows, filtered, fold, slot, written
 
 TOXIC_DOCS, CLEAN_DOCS = 4000, 8000
-PREFIXES = (4, 5, 6)
-#: Documents of the sample that must hold a unit: one in 40 of the toxic ones, within these bounds. The
-#: prior's weight in documents, and the drift of all other tokens.
-SUPPORT, PRIOR, DRIFT = (3, 12), 4.0, -0.02
-#: Least log-odds that count: from the first to the second value as the sample grows to LEAST_FULL toxic
-#: documents, since more units are tried in a larger sample.
-LEAST, LEAST_FULL = (1.7, 3.0), 500
-#: Standard errors that the log-odds are lowered by, so that few documents say little.
-CAUTION = 1.64
+PREFIXES = (4, 5, 6, 7)
+#: Documents of the sample that must hold a unit; the prior's weight in tokens of either class, and what of it
+#: never vanishes; the drift of all other tokens.
+SUPPORT, PRIOR, FLOOR, DRIFT = 3, 4.0, 0.25, -0.02
+#: Tokens of a unit in one document that count, least log-odds, and standard errors that they are lowered by.
+CLIP, LEAST, CAUTION = 8, 2.5, 2.0
 THRESHOLD = 0.3
 #: Bytes that separate tokens: ASCII signs that are neither letter nor digit.
 SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -46,11 +48,14 @@ def tokens(text: str | None) -> list[str]:
     return text.lower().encode("utf-8", "replace").translate(SPACED).decode("utf-8").split() if text else []
 
 
-def units(words: Iterable[str]) -> set[str]:
-    """Distinct units: words, and prefixes marked by a star."""
-    out = set(words)
-    for n in PREFIXES:
-        out |= {w[:n] + "*" for w in words if len(w) > n}
+def units(words: Iterable[str]) -> Counter[str]:
+    """Units of tokens with their counts: words, and prefixes marked by a star."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        out[w] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
     return out
 
 
@@ -208,46 +213,62 @@ def train(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
         for b in batches:
             held: dict[str, list[int]] = {}
             for toxic, text in zip(b["toxic"], b["text"]):
-                for u in units(set(tokens(text))):
-                    held.setdefault(u, [0, 0])[toxic == 1] += 1
-            yield {"unit": list(held), "clean": [v[0] for v in held.values()], "toxic": [v[1] for v in held.values()]}
+                k = int(toxic == 1)
+                for u, n in units(tokens(text)).items():
+                    found = held.setdefault(u, [0, 0, 0, 0])
+                    found[k] += 1
+                    found[2 + k] += min(n, CLIP)
+            yield {"unit": list(held), **{c: [v[i] for v in held.values()] for i, c in enumerate(("d0", "d1", "c0", "c1"))}}
+
+    def size(batches: Iterable[Columns]) -> Iterator[Columns]:
+        for b in batches:
+            yield {"toxic": b["toxic"], "n": [len(tokens(t)) for t in b["text"]]}
 
-    sizes = sampled.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    n1, n0 = sizes["toxic"], sizes["n"] - sizes["toxic"]
-    if not n1 or not n0:
+    told = {r["toxic"]: r for r in arrow_rows(sampled, size, "toxic int, n bigint").groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).collect()}
+    if len(told) < 2:
         return Model()
-    support = min(SUPPORT[1], max(SUPPORT[0], n1 // 40))
-    least = LEAST[0] + (LEAST[1] - LEAST[0]) * min(1.0, n1 / LEAST_FULL)
-    counted = arrow_rows(sampled, count, "unit string, clean bigint, toxic bigint").groupBy("unit").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).where(F.col("c0") + F.col("c1") >= support)
-    prior = F.lit(PRIOR) * (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
-    rest = F.lit(PRIOR / (n0 + n1))  # a share of the prior that never vanishes
-    toxic, clean = F.col("c1") + prior * n1 / (n0 + n1) + rest, F.col("c0") + prior * n0 / (n0 + n1) + F.lit(0.5)
-    odds = F.log(toxic / (n1 + PRIOR)) - F.log(clean / (n0 + PRIOR)) - F.lit(CAUTION) * F.sqrt(1 / toxic + 1 / clean)
-    model = Model({r["unit"]: r["odds"] for r in counted.withColumn("odds", odds).where(F.col("odds") >= least).select("unit", "odds").collect()})
+    n1, n0 = max(1, told[True]["n"]), max(1, told[False]["n"])
+    counted = arrow_rows(sampled, count, "unit string, d0 bigint, d1 bigint, c0 bigint, c1 bigint").groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "c0", "c1"))).where(F.col("d0") + F.col("d1") >= SUPPORT)
+    share = (F.col("c0") + F.col("c1")) / F.lit(float(n0 + n1))
+    toxic, clean = F.col("c1") + PRIOR * share + FLOOR, F.col("c0") + PRIOR * share + FLOOR
+    error = F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
+    odds = F.log(toxic / F.lit(n1 + PRIOR)) - F.log(clean / F.lit(n0 + PRIOR)) - F.lit(CAUTION) * error
+    model = Model({r["unit"]: r["odds"] for r in counted.withColumn("odds", odds).where(F.col("odds") >= LEAST).select("unit", "odds").collect()})
 
     def measure(batches: Iterable[Columns]) -> Iterator[Columns]:
+        """Per document its tokens and best segment; with the first of a batch, how often each score was hit in clean ones."""
         for b in batches:
-            found = [model.segments(t) for t in b["text"]]
-            hits = [(v := model.valued(t))[v > 0].tolist() if toxic != 1 else [] for toxic, t in zip(b["toxic"], b["text"])]
-            yield {"toxic": b["toxic"], "n": [n for n, _ in found], "scores": [[s.score for s in f] for _, f in found], "hits": hits}
-
-    rows = arrow_rows(sampled, measure, "toxic int, n bigint, scores array<double>, hits array<double>").collect()
-    calm = [r for r in rows if r["toxic"] != 1]
-    hits = np.array([v for r in calm for v in r["hits"]])
-    n_tokens = max(1, sum(r["n"] for r in calm))
-    if len(hits):
-        values = np.concatenate((hits, [DRIFT]))
-        share = np.concatenate((np.full(len(hits), 1 / n_tokens), [max(0.0, 1 - len(hits) / n_tokens)]))
-        model.rate = min(4.0, max(0.25, karlin_rate(values, share)))
+            hits: Counter[float] = Counter()
+            best, sizes = [], []
+            for toxic, text in zip(b["toxic"], b["text"]):
+                n, segments = model.segments(text)
+                sizes.append(n)
+                best.append(max((s.score for s in segments), default=0.0))
+                if toxic != 1:
+                    v = model.valued(text)
+                    hits.update(v[v > 0].tolist())
+            more = [list(hits.items())] + [[]] * (len(sizes) - 1)
+            yield {"toxic": b["toxic"], "n": sizes, "best": best, "hits": [[{"value": v, "n": n} for v, n in h] for h in more]}
+
+    measured = written(arrow_rows(sampled, measure, "toxic int, n bigint, best double, hits array<struct<value double, n bigint>>"), "measured")
+    calm = [(r["n"], r["best"]) for r in measured.where("toxic <> 1").select("n", "best").collect()]
+    hist = measured.select(F.explode("hits").alias("h")).groupBy("h.value").agg(F.sum("h.n").alias("n")).collect()
+    n_tokens, n_hits = max(1, sum(n for n, _ in calm)), sum(r["n"] for r in hist)
+    if hist:
+        values = np.array([*(r["value"] for r in hist), DRIFT])
+        rates = np.array([*(r["n"] / n_tokens for r in hist), max(0.0, 1 - n_hits / n_tokens)])
+        model.rate = min(4.0, max(0.25, karlin_rate(values, rates)))
     # one exceedance is expected per clean document at its best segment
-    model.scale = (len(calm) + 1) / (sum(r["n"] * math.exp(-model.rate * max(r["scores"], default=0.0)) for r in calm) + 1)
-    x, y = [], []
-    for r in rows:
-        total, best = model.evidence(r["n"], [Segment(0, 0, s) for s in r["scores"]])
-        x.append((squash(total), best))
-        y.append(float(r["toxic"] == 1))
+    model.scale = (len(calm) + 1) / (sum(n * math.exp(-model.rate * best) for n, best in calm) + 1)
+
+    def weigh(batches: Iterable[Columns]) -> Iterator[Columns]:
+        for b in batches:
+            found = [model.evidence(*model.segments(t)) for t in b["text"]]
+            yield {"toxic": b["toxic"], "total": [squash(total) for total, _ in found], "best": [best for _, best in found]}
+
+    rows = arrow_rows(sampled, weigh, "toxic int, total double, best double").collect()
     # the sample holds more toxic documents than the corpus; the curve keeps the sample's rates
-    model.weights = tuple(logistic(np.array(x), np.array(y)).tolist())
+    model.weights = tuple(logistic(np.array([(r["total"], r["best"]) for r in rows]), np.array([float(r["toxic"] == 1) for r in rows])).tolist())
     return model
 
 
@@ -273,13 +294,7 @@ def score_documents(docs: DataFrame, model: Model, held_out: Column | None = Non
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of docs that are not predicted toxic; every row is judged on its own text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
-        for b in batches:
-            stay = [sent.value.score(t)[0] < THRESHOLD for t in b["text"]]
-            yield {c: [v for v, s in zip(vs, stay) if s] for c, vs in b.items()}
-
-    return arrow_rows(docs, run, docs.schema)
+    return filtered(docs, lambda texts: [sent.value.score(t)[0] < THRESHOLD for t in texts], "text")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
