@@ -119,9 +119,40 @@ def test_warc_round_trip(spark):
     expect = [(i, len((h or "").encode()), "revisit" if h == big and i != first else "response", first if h == big and i != first else None, True, digest(h)) for i, _, h in rows]
     assert got == sorted(expect, key=str)
     assert warc.archive_pages(df.limit(0))[0].count() == 0
+    keys = sorted((warc.url_key(u), (i or 0), i is None) for i, u, _ in rows)
+    assert [(r["url_key"], r["page_id"] or 0, r["page_id"] is None) for r in index.orderBy("place").collect()] == keys
+    # a damaged archive is told
+    from pathlib import Path
+
+    archive = next(Path(base).glob("*.warc.gz"))
+    data = bytearray(archive.read_bytes())
+    data[len(data) // 2] ^= 255
+    archive.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="can't be read"):
+        warc.read_captures(index, base).collect()
     assert warc.url_key("http://www.B.org:80/x?q=1#f") == "org,b)/x?q=1"
 
 
+def test_histories_go_on_over_ranges(spark):
+    """Ranges of two entries; one URL has a history of nine, and places count on over all ranges."""
+    rows = [(i, "http://www.a.org/x#f" if i % 2 else f"http://b.org/{i}", "h") for i in range(18)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    base = warc.scratch(spark, "warc")
+    runs = warc.written(warc.write_archives(warc.marked_revisits(df.repartition(3), "page_id", "url", "html", 100), base), "runs")
+    got = [(r["url_key"], r["page_id"], r["nth"], r["place"]) for r in warc.merge_runs(runs, 18, 2).orderBy("place").collect()]
+    order = sorted((warc.url_key(u), i) for i, u, _ in rows)
+    nth = {}
+    assert got == [(k, i, nth.setdefault(k, []).append(i) or len(nth[k]), p) for p, (k, i) in enumerate(order, 1)]
+
+
+def test_parse_tells_damage():
+    body = "é" * 60
+    record = warc.record_bytes(1, "http://a.org/", "2024-01-01T00:00:00Z", body.encode(), hashlib.sha256(body.encode()).hexdigest(), None)
+    assert warc.parse_record(record)[2:4] == (120, hashlib.sha256(body.encode()).hexdigest()) and warc.parse_record(record)[-1]
+    for bad in (record.replace("éé".encode(), b"abcd", 1), record.replace(b"Content-Length: 120", b"Content-Length: 121"), record[:-4]):
+        assert not warc.parse_record(bad)[-1]
+
+
 # vectors
 def test_top_k(spark):
     r = random.Random(2)

@@ -3,8 +3,9 @@
 Writer tasks put gzip members, one per record, into archives in the shared folder and end each archive
 with a locally sorted run of capture entries (URL key, timestamp, id, archive, offset, length). The runs
 are dealt by key range, so that every range holds a slice of every run, and each range is merged by a
-k-way loser tree: the ranges in order are the globally ordered capture histories. Readers fetch records
-by the merged entries.
+k-way loser tree: the ranges in order are the globally ordered capture histories. The shuffle that deals the
+ranges is what is external; a task holds the MERGE_ROWS or so entries of its range. Readers fetch records by the
+merged entries and check them: length and digest of a response are worked out from the payload that was read.
 
 Defined results: a null payload is the empty payload; of records with equal payloads of at least
 ``min_bytes`` bytes those with the smallest non-null id are responses and the others revisits (a repeated
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ MERGE_ROWS = 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 ENTRY = "url_key string, captured string, page_id bigint, archive string, offset bigint, length bigint, run string, seq int"
-CAPTURE = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, captured string, intact boolean"
+CAPTURE = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, captured string, intact boolean, url_key string, nth bigint, place bigint"
+INDEX = "url_key string, captured string, page_id bigint, archive string, offset bigint, length bigint, nth bigint, place bigint"
 
 
 def url_key(url: str | None) -> str:
@@ -74,16 +77,24 @@ def record_bytes(page_id: int | None, url: str | None, when: str, payload: bytes
 
 
 def parse_record(data: bytes) -> tuple:
-    """The CAPTURE row of one record."""
+    """(page_id, url, payload bytes, digest, type, refers_to, captured, intact) of one record. A response's length
+    and digest are its payload's, a revisit's those of the payload that it refers to, as its headers tell; intact
+    is false if what the record says of itself differs from what it holds."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     length = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))[15:])
     urn = lambda v: None if v is None or v[13:-1] == "null" else int(v[13:-1])
-    digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
-    whole = kind == "revisit" or len(payload) == length and hashlib.sha256(payload).hexdigest() == digest
-    return urn(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), length, digest, kind, urn(fields.get("WARC-Refers-To")), fields["WARC-Date"], whole
+    said, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
+    if kind == "revisit":
+        found = (length, said)
+        whole = not payload and fields.get("WARC-Refers-To") is not None
+    else:
+        found = (len(payload), hashlib.sha256(payload).hexdigest())
+        whole = found == (length, said)
+    whole = whole and len(body) == int(fields["Content-Length"]) and rest[len(body) :] == b"\r\n\r\n"
+    return urn(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), *found, kind, urn(fields.get("WARC-Refers-To")), fields["WARC-Date"], whole
 
 
 class LoserTree:
@@ -185,7 +196,9 @@ def write_archives(rows: DataFrame, base: str) -> DataFrame:
 
 
 def merge_runs(runs: DataFrame, n_rows: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """Capture histories in global order, by range-dealt loser-tree merges. nth: place in the URL's part of its range."""
+    """INDEX: capture histories in global order, by range-dealt loser-tree merges. place: a capture's place in the
+    whole order, nth: in its URL's history, both from 1. A history may go on over ranges, so what the ranges
+    before hold of it is added from a table of the ranges, one row each."""
     parts = max(1, -(-n_rows // merge_rows))
     dealt = runs.repartitionByRange(parts, "url_key", "captured", F.col("page_id").asc_nulls_last(), "archive", "offset")
 
@@ -197,17 +210,32 @@ def merge_runs(runs: DataFrame, n_rows: int, merge_rows: int = MERGE_ROWS) -> Da
         for part in slices.values():
             if any(a[-1] > b[-1] for a, b in zip(part, part[1:])):  # blocks of a run may be fetched in any order
                 part.sort(key=lambda e: e[-1])
-        names = ("url_key", "captured", "page_id", "archive", "offset", "length")
+        names = ("url_key", "captured", "page_id", "archive", "offset", "length", "nth", "place", "range")
         chunk: list[tuple] = []
-        for e in LoserTree([slices[k] for k in sorted(slices)]):
-            chunk.append((e[0], e[1], None if e[2] else e[3], e[4], e[5], e[6]))
+        at, last, nth = TaskContext.get().partitionId(), None, 0
+        for place, e in enumerate(LoserTree([slices[k] for k in sorted(slices)]), 1):
+            nth, last = (nth + 1 if e[0] == last else 1), e[0]
+            chunk.append((e[0], e[1], None if e[2] else e[3], e[4], e[5], e[6], nth, place, at))
             if len(chunk) == 10_000:
                 yield dict(zip(names, map(list, zip(*chunk))))
                 chunk = []
         if chunk:
             yield dict(zip(names, map(list, zip(*chunk))))
 
-    return arrow_rows(dealt, merge, "url_key string, captured string, page_id bigint, archive string, offset bigint, length bigint")
+    merged = written(arrow_rows(dealt, merge, INDEX + ", range int"), "index")
+    first, last = F.min("url_key"), F.max("url_key")
+    ranges = merged.groupBy("range").agg(first.alias("first"), last.alias("last"), F.max("place").alias("n"), F.max_by("nth", "place").alias("tail")).orderBy("range").collect()
+    before, rows = 0, []
+    held: tuple[str | None, int] = (None, 0)  # the URL that the ranges so far end with, and its captures
+    for r in ranges:
+        more = held[1] if r["first"] == held[0] else 0
+        rows.append((r["range"], r["first"], more, before))
+        before += r["n"]
+        held = (r["last"], r["tail"] + (more if r["last"] == r["first"] else 0))
+    told = merged.sparkSession.createDataFrame(rows, "of int, first string, more bigint, before bigint")
+    nth = F.col("nth") + F.when(F.col("url_key") == F.col("first"), F.col("more")).otherwise(F.lit(0))
+    joined = merged.join(F.broadcast(told), F.col("range") == F.col("of"))
+    return joined.select("url_key", "captured", "page_id", "archive", "offset", "length", nth.alias("nth"), (F.col("place") + F.col("before")).alias("place"))
 
 
 def read_captures(index: DataFrame, base: str) -> DataFrame:
@@ -215,22 +243,26 @@ def read_captures(index: DataFrame, base: str) -> DataFrame:
 
     def read(batches: Iterable[Columns]) -> Iterator[Columns]:
         fs, root = filesystem(base)
-        names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "intact")
+        names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "intact", "url_key", "nth", "place")
         handle, opened = None, None
         for b in batches:
             rows = []
-            for archive, offset, length in sorted(zip(b["archive"], b["offset"], b["length"])):
+            for archive, offset, length, *history in sorted(zip(*(b[c] for c in ("archive", "offset", "length", "url_key", "nth", "place")))):
                 if archive != opened:
                     if handle is not None:
                         handle.close()
                     handle, opened = fs.open_input_file(posixpath.join(root, archive)), archive
-                rows.append(parse_record(zlib.decompress(handle.read_at(length, offset), 31)))
+                try:
+                    record = parse_record(zlib.decompress(handle.read_at(length, offset), 31))
+                except (zlib.error, ValueError, KeyError, StopIteration) as e:
+                    raise OSError(f"record at {offset} of {archive} can't be read: {e}") from e
+                rows.append((*record, *history))
             if rows:
                 yield dict(zip(names, map(list, zip(*rows))))
         if handle is not None:
             handle.close()
 
-    places = index.select("archive", "offset", "length").withColumn("stretch", F.expr("`offset` div 16777216"))
+    places = index.select("archive", "offset", "length", "url_key", "nth", "place").withColumn("stretch", F.expr("`offset` div 16777216"))
     return arrow_rows(places.repartition("archive", "stretch").drop("stretch"), read, CAPTURE)
 
 
@@ -244,14 +276,24 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, base = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_captures(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-     m AS (SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+    found = read_captures(index, base)
+    sound = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
+    return found.select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to", "nth", "place")
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+     m AS (SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS f,
+                  coalesce(page_id, 0) % 1000000000 AS tick,
+                  CASE WHEN url IS NULL OR trim(url) = '' THEN '' ELSE
+                    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', ''), '.')), ',')
+                    || ')' || coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/')
+                    || regexp_extract(url, '^[^?#]*([?][^#]+)', 1) END AS k
+           FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
        CASE WHEN n >= 100 AND (page_id > f OR page_id IS NULL AND f IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND (page_id > f OR page_id IS NULL AND f IS NOT NULL) THEN f END AS refers_to
+       CASE WHEN n >= 100 AND (page_id > f OR page_id IS NULL AND f IS NOT NULL) THEN f END AS refers_to,
+       row_number() OVER (PARTITION BY k ORDER BY tick, page_id NULLS LAST) AS nth,
+       row_number() OVER (ORDER BY k, tick, page_id NULLS LAST) AS place
 FROM m
 """
