@@ -353,6 +353,40 @@ def test_packing(spark):
     assert len(rows) == 5 + 30 and packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def brute_packing(pieces, capacity):
+    """Best fit as it is stated: the tightest bin that holds the piece and none of its source or cluster, else a new one."""
+    bins = []
+    for size, key, source, cluster in sorted(pieces, key=lambda p: (-p[0], p[1][0] is None, p[1][0] or 0, p[1][1])):
+        fits = [(capacity - sum(x[0] for x in b), k) for k, b in enumerate(bins) if capacity - sum(x[0] for x in b) >= size and all((source is None or x[2] != source) and (cluster is None or x[3] != cluster) for x in b)]
+        if fits:
+            bins[min(fits)[1]].append((size, key, source, cluster))
+        else:
+            bins.append([(size, key, source, cluster)])
+    return sorted(sorted((x[1] for x in b), key=str) for b in bins)
+
+
+def test_packing_query(spark, tmp_path):
+    r = random.Random(20)
+    texts = near_texts(6, 8, 4, 150) + [" ".join(f"q{r.randrange(10**6)}" for _ in range(r.randint(1, 900))) for _ in range(60)] + [" ".join(f"z{i}" for i in range(9000))]
+    rows = [(i, t, "en", r.choice(["a", "b", "c", None, "d", "e", "f", "g"]), 1) for i, t in enumerate(texts)]
+    rows += [(900, None, None, None, None), (901, "", "en", "a", 0)]
+    got = query_rows(spark, tmp_path, "op6_best_fit", rows).collect()
+    cluster = brute_components(list(range(len(texts))), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    source = {i: s for i, _, _, s, _ in rows}
+    groups = {}
+    for row in got:
+        groups.setdefault(row["bin_id"].split("-")[0], []).append(row)
+    assert sorted((x["doc_id"], x["piece"]) for x in got) == sorted((i, p) for i, t, *_ in rows for p in range(max(1, -(-len((t or "").split()) // packing.CAPACITY))))
+    for found in groups.values():
+        pieces = [(x["n_words"], (x["doc_id"], x["piece"]), source[x["doc_id"]], cluster.get(x["doc_id"])) for x in found]
+        bins = {}
+        for x in found:
+            bins.setdefault(x["bin_id"], []).append(x)
+        assert sorted(sorted(((x["doc_id"], x["piece"]) for x in b), key=str) for b in bins.values()) == brute_packing(pieces, packing.CAPACITY)
+        assert all(sum(y["n_words"] for y in b) == b[0]["bin_words"] <= packing.CAPACITY and sorted(y["position"] for y in b) == list(range(len(b))) for b in bins.values())
+    assert query_rows(spark, tmp_path, "op6_best_fit", []).count() == 0
+
+
 def test_near_copies_are_kept_apart(spark):
     texts = near_texts(5, 6, 3)
     rows = [(i, t, "en", None, len(t)) for i, t in enumerate(texts)]
@@ -822,6 +856,69 @@ def test_toxicity_model_against_brute_force(spark):
 
 
 # pipeline
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's decisions by plain means, one after the other, against what run() returns."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    r = random.Random(21)
+    rows, labels = toxic_case(r, 240)
+    items = [(k, " ".join(f"b{r.randrange(10**6)}" for _ in range(30))) for k in range(6)]
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = near_texts(7, 10, 3, 60) + [" ".join(word() for _ in range(40)) for _ in range(20)]
+    texts += [t.upper() + "  \n" for t in texts[:5]]
+    texts += [" ".join([*(word() for _ in range(9)), *text.split()[15:], *(word() for _ in range(9)), *text.split()[:15]]) for _, text in items]
+    texts += [f"{word()} password={'x9' * 10} {word()}, then {'a1b2' * 5} and AKIA{'Q7' * 9}." for _ in range(8)]
+    rows += [(1000 + i, t, "en", r.choice("abcdef"), len(t)) for i, t in enumerate(texts)]
+    rows += [(5000, None, None, None, None), (5001, "", "en", "a", 0), (None, "no id " + word(), "en", "b", 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")), F.lit(True))
+    left = [(i, t) for i, t, *_ in rows if model.score(t)[0] < toxicity.THRESHOLD]
+    assert {i for i, _ in left} == {i for i, *_ in rows} - set(range(0, 240, 6))
+    norm = [" ".join((t or "").lower().split()) for _, t in left]
+
+    def alike(i, j):
+        a, b = ({tuple(n.split()[k : k + 5]) for k in range(max(1, len(n.split()) - 4))} for n in (norm[i], norm[j]))
+        return norm[i] == norm[j] or len(a & b) >= 0.8 * len(a | b)
+
+    root = brute_components(list(range(len(left))), alike)
+    groups = {}
+    for k, (i, _) in enumerate(left):
+        groups.setdefault(root[k], []).append(i)
+    least = {g: min((i for i in ids if i is not None), default=None) for g, ids in groups.items()}
+    left = [(i, t) for k, (i, t) in enumerate(left) if i is None or i == least[root[k]]]
+    found = lambda t: any(brute_tiles(p.split(), (t or "").lower().split(), 5) >= 0.5 * len(p.split()) for _, p in items)
+    left = [(i, t) for i, t in left if not found(t)]
+
+    def cleaned(t):
+        out, at = "", 0
+        for s, k, e in brute_secrets(t):
+            if s >= at:
+                out += t[at:s] + f"[{('ASSIGN', 'ACCESS', 'HEX')[k]}]"
+            at = max(at, e)
+        return out + t[at:]
+
+    want = sorted(((i, cleaned(t or "")) for i, t in left), key=str)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {}
+    for x in sorted(packed, key=lambda x: x["piece"]):
+        got[x["doc_id"]] = got.get(x["doc_id"], "") + (x["text"] or "")
+    assert sorted(got.items(), key=str) == want
+    assert not {i for i, _ in want} & {1000 + i for i in range(len(texts) - 8 - 6, len(texts) - 8)} and len(want) < len(rows) - 50
+
+
+def test_empty_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,7 +1,9 @@
 """Exact top-k inner-product search by tiled matrix products.
 
-Vectors are scaled to whole numbers and packed into blocks of rows. Every block of the stated query set
-meets every block of the shards; a task multiplies the two as tiles, takes each query's best of a tile by
+Vectors are scaled to whole numbers and packed into blocks of rows. The blocks are dealt into cells of at most
+CELL_BLOCKS blocks; every block of the stated query set is copied to every cell and meets its blocks by a
+merge join, which spills and broadcasts nothing. There are as many cells as there are shuffle partitions, or
+more where a cell would pass CELL_BLOCKS, so the copies of the queries stay few. A task multiplies two blocks as a tile, takes each query's best of a tile by
 partial selection, merges the lists of its tiles, and the lists of all tasks are merged per query by a
 rank filter that also runs before the shuffle.
 
@@ -19,11 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Columns, arrow_rows
+from .common import Columns, arrow_rows, written
 
 SCALE, K, EVERY = 1024, 10, 100
-#: Numbers in a block (2 MB), and blocks of the shards that share copies of the query blocks.
-BLOCK, SHARE = 1 << 18, 64
+#: Numbers in a block (2 MB), and most blocks in a cell (2 GB).
+BLOCK, CELL_BLOCKS = 1 << 18, 1024
 EXACT = float(1 << 53)
 
 
@@ -101,13 +103,15 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, query_filter, k: int = K, sc
     """query_id, rank, vec_id, score: the k best candidates of each row that passes query_filter."""
     spark = df.sparkSession
     base = df.select(F.col(id_col), F.col(vec_col)).where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-    base = base.groupBy(id_col, vec_col).agg(F.lit(1).alias("__one")).drop("__one")
-    n = base.count()
-    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2048))
+    # repeats go by one shuffle of the vectors; shards and queries are then read from its result
+    base = written(base.groupBy(id_col, vec_col).agg(F.lit(1).alias("__one")).drop("__one"), "vectors")
+    numbers = base.agg(F.sum(F.greatest(F.lit(1), F.size(vec_col))).cast("bigint")).first()[0] or 0
+    n_blocks = -(-numbers // BLOCK)
+    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks), -(-n_blocks // CELL_BLOCKS))
     shard = blocks(base, id_col, vec_col, scale).withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(groups)))
     asked = blocks(base.where(query_filter), id_col, vec_col, scale)
     asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).withColumn("q_cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    met = shard.join(asked, (F.col("cell") == F.col("q_cell")) & (F.col("dim") == F.col("q_dim"))).select("dim", "n", "ids", "data", "top", "q_n", "q_ids", "q_keys", "q_data", "q_top")
+    met = shard.hint("merge").join(asked, (F.col("cell") == F.col("q_cell")) & (F.col("dim") == F.col("q_dim"))).select("dim", "n", "ids", "data", "top", "q_n", "q_ids", "q_keys", "q_data", "q_top")
 
     def multiply(batches: Iterable[Columns]) -> Iterator[Columns]:
         lists: dict[bytes, tuple] = {}
