@@ -11,17 +11,16 @@ from .common import written
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the same for all of a component.
 
-    In a round every node points to itself or that neighbour whose hash, salted by the round, is least; the
-    pointers are jumped once, and the edges are rewritten by them. At most half of the nodes are local minima,
-    whatever the graph, so the rounds are logarithmic in its size also on long chains (a path of 1,000 edges
-    takes 7). Neighbours are pre-aggregated, so a hub is one row a task, and the joins need no key's rows
+    In a round every node points to itself or that neighbour whose hash is least; the pointers are jumped once,
+    and the edges are rewritten by them. The hashes order the nodes at random, so few are local minima whatever
+    the graph: the rounds are logarithmic in its size also on long chains (a path of 1,000 edges takes 7), and as
+    the order stays, a star's hub is its least node after one round and the star is gone after two. Neighbours are pre-aggregated, so a hub is one row a task, and the joins need no key's rows
     together. Every round cuts its lineage with tables in the shared folder.
     """
     both = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    found, salt = None, 0
+    found = None
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     while not both.isEmpty():
-        salt += 1
-        rank = lambda c, s=salt: F.struct(F.xxhash64(c, F.lit(s)).alias("h"), F.col(c).alias("v"))
         near = both.select(F.col("a").alias("node"), rank("b").alias("other")).unionAll(both.select(F.col("b").alias("node"), rank("a").alias("other")))
         step = near.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least(rank("node"), F.col("other")).getField("v").alias("to"))
         ahead = step.select(F.col("node").alias("at"), F.col("to").alias("further"))

@@ -45,7 +45,7 @@ LEAF, BLOCK = 256, 1024
 #: Largest share of a part that one cut may leave together.
 SHARE = 0.6
 #: There is one coordinate for every factor FACTOR that the fingerprints are more than FEW.
-FEW, FACTOR = 500, 5
+FEW, FACTOR = 500, 12
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: References of the pivot table: odd multiples of the golden ratio's 64-bit fraction.
 REFERENCES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(PIVOTS)], dtype=np.uint64)
