@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that share a fixed sample are picked by this many hash slots.
 SLOTS = 1 << 20
 
@@ -40,11 +41,28 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder; it outlives any executor."""
+    """Cut lineage with a table in the shared folder; it outlives any executor. The shuffle files of the plan that
+    wrote it are of no further use and go at once."""
     spark = df.sparkSession
     path = scratch(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Remove a table of written() that nothing will read again."""
+    path = None if df is None else df.__dict__.get("_scratch")
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def filesystem(path: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = near.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least(rank("node"), F.col("other")).getField("v").alias("to"))
         ahead = step.select(F.col("node").alias("at"), F.col("to").alias("further"))
         step = written(step.join(ahead, F.col("to") == F.col("at")).select("node", F.col("further").alias("to")), "step")
-        if found is None:
+        first = found is None
+        if first:
             found = step.select("node", F.col("to").alias("root"))
         else:
             moved = step.select(F.col("node").alias("at"), "to")
-            found = written(found.join(moved, found["root"] == moved["at"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            before, found = found, written(found.join(moved, found["root"] == moved["at"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            dropped(before)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         moved = both.join(left, "a").join(right, "b").where("a_to <> b_to")
-        both = written(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        before, both = both, written(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        dropped(before)
+        if not first:  # the first answer is a view of the first step
+            dropped(step)
     return both.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
