@@ -11,7 +11,7 @@ slab's lower end, to the one below, so that two linked ones share a slab in ever
 A task cuts its cells further, coordinate by coordinate in the same way, until a part is small (LEAF) or the
 references are used up, and then compares the part in blocks. One coordinate is taken for every factor FACTOR that
 the fingerprints are more than FEW, and brings about 1.7 rows a row, so the rows dealt (16 bytes each) grow as
-n to the power 1.3. That is what pivots can give: the distances of unlike fingerprints stand close to 32, so
+n to the power 1.2. That is what pivots can give: the distances of unlike fingerprints stand close to 32, so
 a coordinate tells little.
 
 Of a part only a spanning forest of its links leaves the task, so a large group of near copies costs
