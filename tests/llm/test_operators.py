@@ -736,6 +736,33 @@ def test_near_copies(spark):
     assert near_copies.near_duplicates(edge_docs(spark)).count() == edge_docs(spark).count()
 
 
+def test_near_copies_among_many_alike(spark):
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(words, n, taken):
+        at = r.sample([i for i in range(0, 400, 5) if i not in taken], n)
+        return [f"e{r.random()}" if i in at else w for i, w in enumerate(words)], {*taken, *at}
+
+    alike = [edited(base, 7, set()) for _ in range(300)]  # of similarity 0.7 each
+    alike += [edited(words, 8, taken) for words, taken in alike[:20]]  # of 0.82 with one of them
+    texts = [" ".join(w) for w, _ in alike]
+    sets = [{tuple(w[i : i + 5]) for i in range(396)} for w, _ in alike]
+    want = brute_components(list(range(320)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert sum(k != v for k, v in want.items()) == 20
+    got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def test_cells_cut_by_batches():
+    r = random.Random(5)
+    rows = sorted((r.randint(0, 12), r.randint(0, 9)) for _ in range(80))
+    for step in (1, 3, 7, 80):
+        batches = [{"k": np.array([k for k, _ in rows[i : i + step]]), "node": np.array([v for _, v in rows[i : i + step]])} for i in range(0, 80, step)]
+        got = [list(zip(c["k"][s:e].tolist(), c["node"][s:e].tolist())) for c, at in near_copies.whole_cells(iter(batches)) for s, e in zip(at[:-1], at[1:])]
+        assert got == [sorted({x for x in rows if x[0] == k}) for k in sorted({k for k, _ in rows})]
+
+
 def brute_segments(scores):
     """Ruzzo and Tompa's definition: take the best scoring stretch (shortest first), then go on to its left and right."""
 

@@ -1,17 +1,17 @@
-"""Near copies by word shingles: 5-word Jaccard similarity of 0.8 or more.
+"""Near copies by word shingles: 5-word Jaccard similarity of 0.8 or more, found exactly.
 
-A text is the set of its 5-word shingles, lower-cased and with any white space as one. Texts whose SimHash
-fingerprints of these shingles are linked by the pivot tables of simhash.py meet in a cell. A pair at similarity
-0.8 differs in about 10 of 64 bits, where distances to pivots discard nothing, so these are the closest copies
-only; the others are found by BANDS keys, each of ROWS least values under multiplicative hashes of the set: texts
-that share a key meet in a cell too. A pair at similarity 0.8 shares one of 28 keys of 6 with probability
-0.9998, a more similar one with more. Every pair that is reported was verified on the shingle sets themselves.
+A text is the set of its 5-word shingles, lower-cased and with any white space as one. All shingles have one order:
+those that are frequent in a sample of the texts come last, the others by their hash. The order moves work, not
+results. Two sets of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 shingles of either (n: its
+size), so texts that share such a shingle meet in its cell. Two filters discard pairs there, neither a similar one:
+the sizes differ too much, or, if the cell's shingle is the first one the pair shares, too few are left behind it.
+So every similar pair passes in the cell of its first shared shingle, whatever the cell's size.
 
-Keys of one group of copies make the same cell many times over; such cells are told by their texts' number and
-sums and kept once. A first round compares every text of a cell with one of them. Later rounds take the cells
-that still hold more than one component and leave out pairs of one component: cells of at most SMALL texts
-compare all their pairs, larger ones compare all with CENTRES further texts a round, until a round brings the
-cell no new link. So a large group of near copies costs a few comparisons a text, not the square of the group.
+A group of copies would pass as the square of its size. So a first round compares each text of a cell with one
+partner only, and a second one all pairs that pass and are not yet of one component: its rows are pairs that
+no chain of links joins. Pairs are then discarded by a bound on what they share (counts of shingles by BUCKETS slots), and what
+is left is verified on the shingle sets themselves. With closest, texts whose SimHash fingerprints of these shingles are
+linked by the pivot tables of simhash.py are compared in the first round too.
 
 Defined results: texts equal up to case and white space are one node; a null text has no words, and texts
 without words are one node; fewer than five words make one shingle of all; rows without an id take part,
@@ -20,28 +20,31 @@ and a component's id is its smallest non-null id (null if it has none).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import simhash
 from .common import Columns, arrow_rows, dropped, written
 from .components import connected_components
 
-SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 28, 6
+SHINGLE = 5
 SEED = 42
-#: Texts in a cell up to which all its pairs are compared.
-SMALL = 32
-#: Texts of a larger cell that a later round compares the others with.
-CENTRES = 4
-_RANDOM = np.random.default_rng(SEED)
-XORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None]
-ODDS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1))[:, None]
+#: Texts of the sample that tells frequent shingles, and the most of these that are told.
+SAMPLE, FREQUENT = 4000, 1 << 16
+#: Slots of a text's shingle counts; a set in which one holds more than 255 has none and is not discarded by them.
+BUCKETS = 256
+#: Rows and columns of a block of comparisons.
+BLOCK = 1024
+#: Slots of the bitmap of wanted nodes (8 MB).
+BITS = 1 << 26
+ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def normal(text_col: str) -> Column:
@@ -56,27 +59,172 @@ def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of a normal text's shingles."""
     words = text.encode("utf-8", "replace").split()
     h = xxhash.xxh64_intdigest
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.fromiter((h(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n)), dtype=np.uint64, count=n))
-
-
-def keys(found: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(found), 1 << 10):
-        np.minimum(least, ((found[None, a : a + (1 << 10)] ^ XORS) * ODDS).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), t) - (1 << 63) for t, row in enumerate(least.reshape(BANDS, ROWS))]
+    if len(words) < SHINGLE:
+        return np.array([h(b" ".join(words), SEED)], dtype=np.uint64)
+    each = np.fromiter(map(h, words), dtype=np.uint64, count=len(words))
+    n = len(words) - SHINGLE + 1
+    x = each[:n] * ODDS[0]
+    for j in range(1, SHINGLE):
+        x = (x ^ (x >> np.uint64(29))) * ODDS[j] + each[j : n + j] * ODDS[(j + 1) % SHINGLE]
+    x = (x ^ (x >> np.uint64(32))) * ODDS[0]
+    return np.unique(x ^ (x >> np.uint64(29)))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= LEAST * (len(a) + len(b) - both)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def passing(n_a: np.ndarray, left_a: np.ndarray, n_b: np.ndarray, left_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar if their first shared shingle has so many left, itself included."""
+    both = 9 * np.minimum(left_a, left_b) >= 4 * (n_a + n_b)
+    return both & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+
+
+def first_ones(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set that a similar one must share one of, in the order of all."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        often = np.where(frequent[at] == found, counts[at], 0)
+        found = found[np.argsort(often, kind="stable")]
+    return found[: len(found) - (4 * len(found) + 4) // 5 + 1]
+
+
+def slots(found: np.ndarray) -> bytes | None:
+    counts = np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def by_arrays(df: DataFrame, fn: Callable[[Iterator[dict[str, np.ndarray]]], Iterable[dict[str, np.ndarray]]], schema: str) -> DataFrame:
+    """mapInArrow for functions over columns of numbers without nulls."""
+    out = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in fn({n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)} for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
+def whole_cells(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """(rows, first row of each cell and the end) of rows sorted by (k, node), equal ones once, no cell cut in two."""
+
+    def told(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        k, i = rows["k"], rows["node"]
+        stay = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
+        rows = {c: v[stay] for c, v in rows.items()}
+        k = rows["k"]
+        return rows, np.r_[np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), len(k)]
+
+    held: list[dict[str, np.ndarray]] = []  # rows of one cell, which may go on
+    for b in batches:
+        if not len(b["k"]):
+            continue
+        held.append(b)
+        if b["k"][-1] == held[0]["k"][0]:
+            continue
+        rows = {c: np.concatenate([h[c] for h in held]) for c in b}
+        cut = int(np.searchsorted(rows["k"], rows["k"][-1]))
+        yield told({c: v[:cut] for c, v in rows.items()})
+        held = [{c: v[cut:] for c, v in rows.items()}]
+    if held:
+        yield told({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def partners(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """First round: of each text of a cell that passes with another, the first such text before it (or itself), and
+    whether its cell holds pairs beside these."""
+    for rows, starts in whole_cells(batches):
+        n, left, nodes = rows["n"], rows["n"] - rows["pos"], rows["node"]
+        size = np.diff(starts)
+        two = starts[:-1][size == 2]
+        two = two[passing(n[two], left[two], n[two + 1], left[two + 1])]
+        at, first, more = [two + 1], [two], [np.zeros(len(two), dtype=bool)]
+        # in a pair that passes, the smaller set has eight ninths left
+        small = np.add.reduceat(9 * left >= 8 * n, starts[:-1]) > 0
+        for s, e in zip(starts[:-1][(size > 2) & small].tolist(), starts[1:][(size > 2) & small].tolist()):
+            before = np.full(e - s, -1)
+            some, pairs = np.zeros(e - s, dtype=bool), 0
+            for i in range(s, e, BLOCK):
+                for j in range(i, e, BLOCK):
+                    a, b = slice(i, min(e, i + BLOCK)), slice(j, min(e, j + BLOCK))
+                    ok = passing(n[a, None], left[a, None], n[None, b], left[None, b])
+                    if i == j:
+                        ok = np.triu(ok, 1)
+                    pairs += int(ok.sum())
+                    some[i - s : i - s + BLOCK] |= ok.any(1)
+                    to = before[j - s : j - s + BLOCK]
+                    has = ok.any(0)
+                    some[j - s : j - s + BLOCK] |= has
+                    new = has & (to < 0)
+                    to[new] = ok.argmax(0)[new] + i - s
+            if pairs:
+                m = np.flatnonzero(some)
+                told = np.where(before[m] < 0, m, before[m])
+                at.append(m + s)
+                first.append(told + s)
+                more.append(np.full(len(m), pairs > int((told != m).sum())))
+        i, j = np.concatenate(at), np.concatenate(first)
+        if len(i):
+            yield {c: rows[c][i] for c in ("k", "node", "n", "pos")} | {"other": nodes[j], "more": np.concatenate(more)}
+
+
+def unlinked(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """Second round: all pairs of a cell that pass and are of different components."""
+    for rows, starts in whole_cells(batches):
+        n, left, r, nodes = rows["n"], rows["n"] - rows["pos"], rows["r"], rows["node"]
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if (r[s:e] == r[s]).all():
+                continue
+            for i in range(s, e, BLOCK):
+                for j in range(i, e, BLOCK):
+                    a, b = slice(i, min(e, i + BLOCK)), slice(j, min(e, j + BLOCK))
+                    ok = passing(n[a, None], left[a, None], n[None, b], left[None, b]) & (r[a, None] != r[None, b])
+                    x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                    if len(x):
+                        yield {"a": nodes[i + x], "b": nodes[j + y]}
+
+
+def among(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose node is in wanted, and a few others: a bitmap of fixed size tells, so df is not moved."""
+    place = F.pmod("node", F.lit(BITS))
+    maps = wanted.select(F.bitmap_bucket_number(place).alias("__at"), F.bitmap_bit_position(place).alias("bit")).groupBy("__at").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = df.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__at"))
+    return held.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*df.columns)
+
+
+def frequent_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that are most frequent in a sample, and their counts there."""
+
+    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
+        for b in batches:
+            for t in b["text"]:
+                yield {"k": shingles(t).view(np.int64)}
+
+    part = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=SEED).select(normal(text_col).alias("text"))
+    told = arrow_rows(part, run, "k bigint").groupBy("k").count().where("count > 1").orderBy(F.desc("count"), "k").limit(FREQUENT).collect()
+    found = np.array([r["k"] for r in told], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["count"] for r in told], dtype=np.int64)[order]
+
+
+def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
 
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {c: i for i, c in enumerate(b.schema.names)}
+            stay = []
+            for n_a, n_b, x, y in zip(*(b.column(at[c]).to_pylist() for c in ("a_n", "b_n", "a_slots", "b_slots"))):
+                both = min(n_a, n_b) if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+                stay.append(9 * both >= 4 * (n_a + n_b))
+            yield b.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
     def run(batches: Iterable[Columns]) -> Iterator[Columns]:
         for b in batches:
             held: dict[int, np.ndarray] = {}
@@ -87,74 +235,67 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked = [(x, y) for x, y in zip(b["a"], b["b"]) if similar(held[x], held[y])]
             yield {"a": [x for x, _ in linked], "b": [y for _, y in linked]}
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return arrow_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")
+    def side(df: DataFrame, end: str, *columns: str) -> DataFrame:
+        return df.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
 
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    counts = among(signed.select("node", "n", "slots"), wanted).dropDuplicates(["node"])
+    likely = pairs.join(side(counts, "a", "n", "slots"), "a").join(side(counts, "b", "n", "slots"), "b")
+    likely = written(likely.select("a", "b", "a_n", "b_n", "a_slots", "b_slots").mapInArrow(may, "a bigint, b bigint"), "likely")
+    wanted = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node")))
+    texts = among(texts, wanted)
+    out = written(arrow_rows(likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint"), "links")
+    dropped(pairs)
+    dropped(likely)
+    return out
 
-def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
+
+def roots(docs: DataFrame, text_col: str = "text", closest: bool = False) -> DataFrame:
     """(node, root) of every node that has a near copy with another node."""
+    frequent, counts = frequent_shingles(docs, text_col)
 
     def run(batches: Iterable[Columns]) -> Iterator[Columns]:
         for b in batches:
-            found = [shingles(t) for t in b["text"]]
-            yield {"node": b["node"], "keys": [keys(f) for f in found], "fp": [simhash.signed(simhash.majority(f)) for f in found]}
-
-    signed = written(arrow_rows(docs.select(node(text_col).alias("node"), normal(text_col).alias("text")), run, "node bigint, keys array<bigint>, fp bigint").dropDuplicates(["node"]), "signatures")
-    close = connected_components(simhash.links(signed.select("fp").distinct())).select(F.col("node").alias("of"), "root")
-    alike = signed.join(close, signed["fp"] == close["of"], "left").select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("fingerprint")).alias("k"))
-    cells = signed.select("node", F.explode("keys").alias("k")).unionAll(alike)
-    sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in range(2)]
-    shared = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1").groupBy("n", "s0", "s1").agg(F.min("k").alias("ck")).select("ck", "n")
-    met = written(cells.join(shared, F.col("k") == F.col("ck")).select("node", "k", "n", F.col("n").alias("parts"), F.col("node").alias("r")), "met")
-    wanted = met.select(F.col("node").alias("__node")).distinct()
-    texts = docs.select(node(text_col).alias("node"), normal(text_col).alias("text")).join(wanted, F.col("node") == F.col("__node"), "left_semi")
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-
-    def centred(of: DataFrame, salt: int) -> DataFrame:
-        """Each text of a cell that is not of its centre's component, with the centre."""
-        centre = of.groupBy(F.col("k").alias("ck")).agg(F.min_by(F.struct("node", "r"), F.xxhash64("node", F.lit(salt))).alias("c"))
-        met = of.join(centre, (F.col("k") == F.col("ck")) & (F.col("r") != F.col("c.r")))
-        return met.select(F.col("node").alias("a"), F.col("c.node").alias("b"))
-
-    def further(of: DataFrame, salt: int) -> DataFrame:
-        return reduce(DataFrame.unionAll, (centred(of, salt * CENTRES + i) for i in range(CENTRES)))
-
-    found = links = None
-    salt = 0
-    while True:
-        if found is not None:
-            # a cell that is one component has nothing left to compare; one that a round has brought no link is done
-            root = found.select(F.col("node").alias("of"), "root")
-            rooted = met.join(root, met["r"] == F.col("of"), "left").select("node", "k", "n", "parts", F.coalesce("root", "r").alias("r"))
-            now = rooted.select("k", "r", "parts", "n").distinct().groupBy(F.col("k").alias("mk")).agg(F.count(F.lit(1)).alias("now"), F.first("parts").alias("was"), F.first("n").alias("size"))
-            on = now.where((F.col("now") > 1) & ((F.col("now") < F.col("was")) | F.lit(salt == 1))).where((F.col("size") > SMALL) | F.lit(salt == 1)).select("mk", "now")
-            before, met = met, written(rooted.join(on, F.col("k") == F.col("mk")).select("node", "k", "n", F.col("now").alias("parts"), "r"), "met")
-            dropped(before)
-            if met.isEmpty():
-                return found
-        if salt == 0:
-            pairs = centred(met, 0)
-        elif salt == 1:
-            few = met.where(F.col("n") <= SMALL).groupBy("k").agg(F.collect_list(F.struct("node", "r")).alias("m"))
-            both = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a.r < b.r")
-            pairs = both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).unionAll(further(met.where(F.col("n") > SMALL), 1))
-        else:
-            pairs = further(met.where(F.col("n") > SMALL), salt)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(verified(pairs, texts), "links")
-        empty = new.isEmpty()
-        if not empty or found is None:
-            links = new if links is None else links.unionAll(new)
-            found = connected_components(links)
-        if empty and salt:
-            return found
-        salt += 1
+            one = dict(zip(b["node"], b["text"]))
+            found = [shingles(t) for t in one.values()]
+            yield {
+                "node": list(one),
+                "n": [len(f) for f in found],
+                "firsts": [first_ones(f, frequent, counts).view(np.int64) for f in found],
+                "slots": [slots(f) for f in found],
+                "fp": [simhash.signed(simhash.majority(f)) if closest else 0 for f in found],
+            }
+
+    signed = written(arrow_rows(docs.select(node(text_col).alias("node"), normal(text_col).alias("text")), run, "node bigint, n int, firsts array<bigint>, slots binary, fp bigint"), "signatures")
+    cells = signed.select("node", "n", F.posexplode("firsts").alias("pos", "k")).select("k", "node", "n", "pos")
+    met = written(by_arrays(cells.repartition("k").sortWithinPartitions("k", "node"), partners, "k bigint, node bigint, n int, pos int, other bigint, more boolean"), "met")
+    pairs = met.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    wanted = met.select("node").unionAll(met.select(F.col("other").alias("node")))
+    if closest:
+        fps = signed.select("node", "fp").distinct()
+        close = connected_components(simhash.links(fps.select("fp").distinct())).select(F.col("node").alias("of"), "root")
+        alike = written(fps.join(close, fps["fp"] == close["of"], "left").select("node", F.coalesce("root", "fp").alias("root")), "alike")
+        least = alike.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "b")
+        near = alike.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b")
+        pairs = pairs.unionAll(near)
+        wanted = wanted.unionAll(near.select(F.col("a").alias("node"))).unionAll(near.select(F.col("b").alias("node")))
+    texts = among(docs.select(node(text_col).alias("node"), normal(text_col).alias("text")), wanted)
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    links = verified(pairs, signed, texts)
+    found = connected_components(links)
+    root = found.select(F.col("node").alias("of"), "root")
+    open_cells = met.where("more").select("k", "node", "n", "pos")
+    rooted = open_cells.join(root, open_cells["node"] == F.col("of"), "left").select("k", "node", "n", "pos", F.coalesce("root", "node").alias("r"))
+    rest = verified(by_arrays(rooted.repartition("k").sortWithinPartitions("k", "node"), unlinked, "a bigint, b bigint"), signed, texts)
+    for held in (met, signed, texts):
+        dropped(held)
+    return found if rest.isEmpty() else connected_components(links.unionAll(rest))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; fp is the row's node."""
-    linked = roots(docs, text_col)
+    linked = roots(docs, text_col, closest=True)
     each = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), node(text_col).alias("fp")), "nodes")
     nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     joined = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))

@@ -20,8 +20,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,13 +63,23 @@ def best_fit(pieces: list[tuple[int, object, object]], capacity: int) -> list[in
     return out
 
 
+def with_words(df: DataFrame) -> DataFrame:
+    """The texts in the column words become their numbers of words (white space is Java's: ASCII)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.schema.get_field_index("words")
+            yield b.set_column(i, "words", pc.count_substring_regex(b.column(i), r"[^ \t\n\x0B\f\r]+").cast(pa.int64()))
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.LongType() if f.name == "words" else f.dataType) for f in df.schema]))
+
+
 def pack(docs: DataFrame, source: Column, cluster: Column, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, roots: DataFrame | None = None, with_text: bool = False) -> DataFrame:
     """PACKED rows, one for each piece. roots (node, root) maps clusters to larger ones; with_text adds each
     piece's own text as the column text, and a document's pieces joined are its text."""
     text = [F.col(text_col).alias("text")] if with_text else []
     held = ["text"] if with_text else []
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("bigint")
-    sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words.alias("words"), source.cast("string").alias("source"), cluster.alias("cluster"), *text)
+    sized = with_words(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("words"), source.cast("string").alias("source"), cluster.alias("cluster"), *text))
     if roots is not None:
         sized = sized.join(roots, sized["cluster"] == roots["node"], "left").select("doc_id", "words", "source", F.coalesce("root", "cluster").alias("cluster"), *held)
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)).cast("int")
