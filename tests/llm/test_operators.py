@@ -740,16 +740,16 @@ def test_near_copies_among_many_alike(spark):
     r = random.Random(6)
     base = [f"w{i}" for i in range(400)]
 
-    def edited(words, n, taken):
-        at = r.sample([i for i in range(0, 400, 5) if i not in taken], n)
-        return [f"e{r.random()}" if i in at else w for i, w in enumerate(words)], {*taken, *at}
-
-    alike = [edited(base, 7, set()) for _ in range(300)]  # of similarity 0.7 each
-    alike += [edited(words, 8, taken) for words, taken in alike[:20]]  # of 0.82 with one of them
-    texts = [" ".join(w) for w, _ in alike]
-    sets = [{tuple(w[i : i + 5]) for i in range(396)} for w, _ in alike]
-    want = brute_components(list(range(320)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
-    assert sum(k != v for k, v in want.items()) == 20
+    def edited(at):
+        return [f"e{r.random()}" if i in at else w for i, w in enumerate(base)]
+
+    places = range(5, 395, 5)
+    # the first two are similar (0.82), and what they share is in cells with many of the others (0.74 at most)
+    alike = [edited({20, 120, 220, 320}), edited({60, 160, 260, 360})] + [edited(set(r.sample(places, 8))) for _ in range(300)]
+    texts = [" ".join(w) for w in alike]
+    sets = [{tuple(w[i : i + 5]) for i in range(396)} for w in alike]
+    want = brute_components(list(range(302)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert [k for k, v in want.items() if k != v] == [1]
     got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
