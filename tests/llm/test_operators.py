@@ -754,6 +754,45 @@ def test_near_copies_among_many_alike(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_cells_give_fewer_rows_than_they_hold(spark, monkeypatch):
+    r = random.Random(8)
+    # near copies of one text that are less similar than 0.8 and share most of their first shingles
+    texts = [" ".join(f"e{r.random()}" if i in at else f"w{i}" for i in range(100)) for at in (set(r.sample(range(5, 95, 5), 2)) for _ in range(200))]
+    by_arrays, seen = near_copies.by_arrays, []
+
+    def counted(df, fn, schema):
+        out = by_arrays(df, fn, schema)
+        seen.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "by_arrays", counted)
+    got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(seen) == 2 and all(made <= read for read, made in seen)
+    sets = [near_copies.shingles(t) for t in texts]
+    assert {x["doc_id"]: x["component_id"] for x in got} == brute_components(list(range(200)), lambda i, j: near_copies.similar(sets[i], sets[j]))
+
+
+def test_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", 7)
+    texts = near_texts(4, 1, 60) + near_texts(9, 4, 3)
+    want = brute_components(list(range(len(texts))), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+@pytest.mark.parametrize("columns", [5, 4096])
+def test_sets_against_brute_force(monkeypatch, columns):
+    monkeypatch.setattr(near_copies, "COLUMNS", columns)
+    r = random.Random(11)
+    for size in (1, 2, 4, 5, 9, 40):
+        bases = [r.sample(range(10**6), r.choice([1, 9, 60])) for _ in range(3)]
+        sets = [np.unique(np.array([r.randrange(10**6) if r.random() < 0.06 else x for x in r.choice(bases)], dtype=np.uint64)) for _ in range(size)]
+        a, b = near_copies.similar_ones(sets)
+        assert len(a) < size
+        links = set(zip(a.tolist(), b.tolist()))
+        assert brute_components(list(range(size)), lambda i, j: (i, j) in links or (j, i) in links) == brute_components(list(range(size)), lambda i, j: near_copies.similar(sets[i], sets[j]))
+
+
 def test_cells_cut_by_batches():
     r = random.Random(5)
     rows = sorted((r.randint(0, 12), r.randint(0, 9)) for _ in range(80))

@@ -7,11 +7,12 @@ size), so texts that share such a shingle meet in its cell. Two filters discard
 the sizes differ too much, or, if the cell's shingle is the first one the pair shares, too few are left behind it.
 So every similar pair passes in the cell of its first shared shingle, whatever the cell's size.
 
-A group of copies would pass as the square of its size. So a first round compares each text of a cell with one
-partner only, and a second one all pairs that pass and are not yet of one component: its rows are pairs that
-no chain of links joins. Pairs are then discarded by a bound on what they share (counts of shingles by BUCKETS slots), and what
-is left is verified on the shingle sets themselves. With closest, texts whose SimHash fingerprints of these shingles are
-linked by the pivot tables of simhash.py are compared in the first round too.
+Pairs never leave a cell as rows. Where a cell has pairs beside one partner for each text, the texts' counts of shingles
+by BUCKETS slots come to it, pairs that cannot share enough are discarded, and a spanning forest of the rest leaves
+the task: fewer rows than texts. So similar texts are of one component of these edges. The texts of a component then
+meet in one task (or in each two blocks of PART texts, if they are more), where all pairs are verified on the
+shingle sets, and again only a forest leaves. With closest, texts whose SimHash fingerprints of these shingles are
+linked by the pivot tables of simhash.py are candidates too.
 
 Defined results: texts equal up to case and white space are one node; a null text has no words, and texts
 without words are one node; fewer than five words make one shingle of all; rows without an id take part,
@@ -42,6 +43,10 @@ SAMPLE, FREQUENT = 4000, 1 << 16
 BUCKETS = 256
 #: Rows and columns of a block of comparisons.
 BLOCK = 1024
+#: Pairs whose slots are compared at once, and shingles whose sets are.
+PAIRS, COLUMNS = 4096, 4096
+#: Texts of a block; a group of more is compared in each two of its blocks.
+PART = 512
 #: Slots of the bitmap of wanted nodes (8 MB).
 BITS = 1 << 26
 ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -51,6 +56,11 @@ def normal(text_col: str) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " ")))
 
 
+def raw(text_col: str) -> Column:
+    """The hash of a text as it stands, null as empty: tells texts apart without working out their normal form."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def node(text_col: str) -> Column:
     return F.xxhash64(normal(text_col))
 
@@ -172,20 +182,31 @@ def partners(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.
             yield {c: rows[c][i] for c in ("k", "node", "n", "pos")} | {"other": nodes[j], "more": np.concatenate(more)}
 
 
-def unlinked(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
-    """Second round: all pairs of a cell that pass and are of different components."""
+def together(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """Of each cell a spanning forest of the pairs that pass and that the slots do not discard: fewer rows than texts."""
     for rows, starts in whole_cells(batches):
-        n, left, r, nodes = rows["n"], rows["n"] - rows["pos"], rows["r"], rows["node"]
+        n, left, nodes = rows["n"], rows["n"] - rows["pos"], rows["node"]
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if (r[s:e] == r[s]).all():
-                continue
+            none = np.array([x is None for x in rows["slots"][s:e]])
+            counts = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in rows["slots"][s:e]), np.uint8).reshape(-1, BUCKETS)
+            label, at, to = np.arange(e - s), np.empty(0, dtype=int), np.empty(0, dtype=int)
             for i in range(s, e, BLOCK):
                 for j in range(i, e, BLOCK):
                     a, b = slice(i, min(e, i + BLOCK)), slice(j, min(e, j + BLOCK))
-                    ok = passing(n[a, None], left[a, None], n[None, b], left[None, b]) & (r[a, None] != r[None, b])
+                    ok = passing(n[a, None], left[a, None], n[None, b], left[None, b]) & (label[i - s : i - s + BLOCK, None] != label[None, j - s : j - s + BLOCK])
                     x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
-                    if len(x):
-                        yield {"a": nodes[i + x], "b": nodes[j + y]}
+                    for c in range(0, len(x), PAIRS):
+                        u, v = x[c : c + PAIRS] + i - s, y[c : c + PAIRS] + j - s
+                        apart = label[u] != label[v]
+                        u, v = u[apart], v[apart]
+                        both = np.minimum(counts[u], counts[v]).sum(axis=1, dtype=np.int64)
+                        may = none[u] | none[v] | (9 * both >= 4 * (n[s + u] + n[s + v]))
+                        if may.any():
+                            at, to = simhash.forest(e - s, np.r_[at, u[may]], np.r_[to, v[may]])
+                            label = np.arange(e - s)
+                            label[at] = to
+            if len(at):
+                yield {"a": nodes[s + at], "b": nodes[s + to]}
 
 
 def among(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,10 +234,10 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nd
     return found[order], np.array([r["count"] for r in told], dtype=np.int64)[order]
 
 
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+def likely(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the slots do not discard."""
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {c: i for i, c in enumerate(b.schema.names)}
             stay = []
@@ -225,80 +246,133 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame
                 stay.append(9 * both >= 4 * (n_a + n_b))
             yield b.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
-    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
+    def side(end: str) -> DataFrame:
+        return counts.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("slots").alias(f"{end}_slots"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "a_n", "b_n", "a_slots", "b_slots").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_ones(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs of similar sets."""
+    if len(sets) <= 4:
+        linked = [(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])]
+        return simhash.forest(len(sets), np.array([i for i, _ in linked], dtype=int), np.array([j for _, j in linked], dtype=int))
+    n = np.array([len(x) for x in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # shingles of one set only are in no intersection; the others are numbered anew
+    place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
+    of = np.repeat(np.arange(len(sets)), n)[place >= 0]
+    place = place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        lo, hi = np.searchsorted(place, [first, first + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(place[hi - 1]) + 1 - first)), dtype=np.float32)
+        held[of[lo:hi], place[lo:hi] - first] = 1
+        both += (held @ held.T).astype(np.int32)
+    return simhash.forest(len(sets), *np.nonzero(np.triu(9 * both.astype(np.int64) >= 4 * (n[:, None] + n[None, :]), 1)))
+
+
+def linked(edges: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(a, b) nodes, such that the components are those of all similar pairs. Similar nodes are of one component of
+    edges; the texts of such a component meet in one task, or, if they are many, each two blocks of them do."""
+    groups = connected_components(edges).select(F.col("node").alias("of"), F.col("root").alias("group"))
+    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("blocks"))
+    # one of the texts that are equal up to case and white space stands for its node
+    each = signed.groupBy("node").agg(F.min("raw").alias("raw"))
+    each = written(each.join(groups, each["node"] == groups["of"]).join(sizes, "group").select("raw", "node", "group", "blocks"), "grouped")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            held: dict[int, np.ndarray] = {}
-            for ids, values in ((b["a"], b["a_text"]), (b["b"], b["b_text"])):
-                for i, t in zip(ids, values):
-                    if i not in held:
-                        held[i] = shingles(t)
-            linked = [(x, y) for x, y in zip(b["a"], b["b"]) if similar(held[x], held[y])]
-            yield {"a": [x for x, _ in linked], "b": [y for _, y in linked]}
-
-    def side(df: DataFrame, end: str, *columns: str) -> DataFrame:
-        return df.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
-
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    counts = among(signed.select("node", "n", "slots"), wanted).dropDuplicates(["node"])
-    likely = pairs.join(side(counts, "a", "n", "slots"), "a").join(side(counts, "b", "n", "slots"), "b")
-    likely = written(likely.select("a", "b", "a_n", "b_n", "a_slots", "b_slots").mapInArrow(may, "a bigint, b bigint"), "likely")
-    wanted = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node")))
-    texts = among(texts, wanted)
-    out = written(arrow_rows(likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint"), "links")
-    dropped(pairs)
-    dropped(likely)
+            stay = []
+            for v in b.column(0).to_pylist():
+                stay.append(v not in seen)
+                seen.add(v)
+            yield b.filter(pa.array(stay, pa.bool_()))
+
+    texts = among(docs.select(raw(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), each.select(F.col("raw").alias("node")))
+    texts = texts.mapInArrow(once, "node bigint, text string").select(F.col("node").alias("is"), normal("text").alias("text"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = each.select("raw", "node", "group", own.alias("own"), other.alias("other")).select("raw", "node", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = texts.join(dealt, texts["is"] == dealt["raw"]).select("group", "i", "j", "node", "text")
+
+    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
+        part, held = None, {}
+
+        def told() -> Columns:
+            nodes = list(held)
+            a, b = similar_ones(list(held.values())) if len(nodes) > 1 else ([], [])
+            return {"a": [nodes[i] for i in a], "b": [nodes[i] for i in b]}
+
+        for rows in batches:
+            for g, i, j, v, t in zip(*rows.values()):
+                if (g, i, j) != part:
+                    if len(held) > 1:
+                        yield told()
+                    part, held = (g, i, j), {}
+                if v not in held:
+                    held[v] = shingles(t)
+        yield told()
+
+    out = written(arrow_rows(dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j"), run, "a bigint, b bigint"), "links")
+    dropped(each)
     return out
 
 
 def roots(docs: DataFrame, text_col: str = "text", closest: bool = False) -> DataFrame:
-    """(node, root) of every node that has a near copy with another node."""
+    """(node, root) of every text: node is the raw() of it, root the same for all of a component."""
     frequent, counts = frequent_shingles(docs, text_col)
 
     def run(batches: Iterable[Columns]) -> Iterator[Columns]:
         for b in batches:
-            one = dict(zip(b["node"], b["text"]))
-            found = [shingles(t) for t in one.values()]
+            one = {r: (v, t) for r, v, t in zip(b["raw"], b["node"], b["text"])}
+            found = [shingles(t) for _, t in one.values()]
             yield {
-                "node": list(one),
+                "raw": list(one),
+                "node": [v for v, _ in one.values()],
                 "n": [len(f) for f in found],
                 "firsts": [first_ones(f, frequent, counts).view(np.int64) for f in found],
                 "slots": [slots(f) for f in found],
                 "fp": [simhash.signed(simhash.majority(f)) if closest else 0 for f in found],
             }
 
-    signed = written(arrow_rows(docs.select(node(text_col).alias("node"), normal(text_col).alias("text")), run, "node bigint, n int, firsts array<bigint>, slots binary, fp bigint"), "signatures")
+    signed = arrow_rows(docs.select(raw(text_col).alias("raw"), node(text_col).alias("node"), normal(text_col).alias("text")), run, "raw bigint, node bigint, n int, firsts array<bigint>, slots binary, fp bigint")
+    signed = written(signed, "signatures")
     cells = signed.select("node", "n", F.posexplode("firsts").alias("pos", "k")).select("k", "node", "n", "pos")
     met = written(by_arrays(cells.repartition("k").sortWithinPartitions("k", "node"), partners, "k bigint, node bigint, n int, pos int, other bigint, more boolean"), "met")
-    pairs = met.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    wanted = met.select("node").unionAll(met.select(F.col("other").alias("node")))
+    pairs = met.where("node <> other and not more").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     if closest:
         fps = signed.select("node", "fp").distinct()
         close = connected_components(simhash.links(fps.select("fp").distinct())).select(F.col("node").alias("of"), "root")
         alike = written(fps.join(close, fps["fp"] == close["of"], "left").select("node", F.coalesce("root", "fp").alias("root")), "alike")
         least = alike.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "b")
-        near = alike.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b")
+        near = alike.join(least, "root").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         pairs = pairs.unionAll(near)
-        wanted = wanted.unionAll(near.select(F.col("a").alias("node"))).unionAll(near.select(F.col("b").alias("node")))
-    texts = among(docs.select(node(text_col).alias("node"), normal(text_col).alias("text")), wanted)
-    texts = written(texts.dropDuplicates(["node"]), "texts")
-    links = verified(pairs, signed, texts)
-    found = connected_components(links)
-    root = found.select(F.col("node").alias("of"), "root")
+    pairs = written(pairs.distinct(), "pairs")
     open_cells = met.where("more").select("k", "node", "n", "pos")
-    rooted = open_cells.join(root, open_cells["node"] == F.col("of"), "left").select("k", "node", "n", "pos", F.coalesce("root", "node").alias("r"))
-    rest = verified(by_arrays(rooted.repartition("k").sortWithinPartitions("k", "node"), unlinked, "a bigint, b bigint"), signed, texts)
-    for held in (met, signed, texts):
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(open_cells.select("node"))
+    slotted = written(among(signed.select("node", "n", "slots"), wanted).dropDuplicates(["node"]), "slots")
+    cells = open_cells.join(slotted.select(F.col("node").alias("of"), "slots"), F.col("node") == F.col("of")).select("k", "node", "n", "pos", "slots")
+    forests = by_arrays(cells.repartition("k").sortWithinPartitions("k", "node"), together, "a bigint, b bigint")
+    edges = written(likely(pairs, slotted).unionAll(forests), "candidates")
+    found = connected_components(linked(edges, signed, docs, text_col)).select(F.col("node").alias("of"), "root")
+    each = signed.select("raw", "node").distinct()
+    out = written(each.join(found, each["node"] == found["of"], "left").select(F.col("raw").alias("node"), F.coalesce("root", "node").alias("root")), "near")
+    for held in (met, signed, pairs, slotted, edges):
         dropped(held)
-    return found if rest.isEmpty() else connected_components(links.unionAll(rest))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; fp is the row's node."""
-    linked = roots(docs, text_col, closest=True)
-    each = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), node(text_col).alias("fp")), "nodes")
+    """(doc_id, fp, component_id) of every row; fp is the row's raw()."""
+    near = roots(docs, text_col, closest=True)
+    each = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), raw(text_col).alias("fp")), "nodes")
     nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    joined = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    joined = nodes.join(near, nodes["fp"] == near["node"]).select("fp", "least", "n", "root")
     joined = written(joined, "joined")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     answer = joined.join(least, "root").select(F.col("fp").alias("of"), "component_id", F.lit(True).alias("known"))

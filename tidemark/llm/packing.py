@@ -116,7 +116,7 @@ def pack(docs: DataFrame, source: Column, cluster: Column, id_col: str = "doc_id
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
     """Clusters are the components of near copies; a text without words is in none."""
-    cluster = F.when(near_copies.normal("text") != "", near_copies.node("text"))
+    cluster = F.when(F.col("text").rlike(r"\S"), near_copies.raw("text"))
     return pack(docs, F.col("source"), cluster, roots=near_copies.roots(docs), **options)
 
 
