@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -793,6 +794,41 @@ def test_sets_against_brute_force(monkeypatch, columns):
         assert brute_components(list(range(size)), lambda i, j: (i, j) in links or (j, i) in links) == brute_components(list(range(size)), lambda i, j: near_copies.similar(sets[i], sets[j]))
 
 
+def test_sets_by_ranges_of_hashes(monkeypatch):
+    monkeypatch.setattr(near_copies, "RANGE", 50, raising=False)
+    r = random.Random(12)
+    base = [r.randrange(1 << 64) for _ in range(60)]
+    sets = [np.unique(np.array([r.randrange(1 << 64) if r.random() < 0.06 else x for x in base], dtype=np.uint64)) for _ in range(30)]
+    links = set(zip(*(x.tolist() for x in near_copies.similar_ones(sets))))
+    assert brute_components(list(range(30)), lambda i, j: (i, j) in links or (j, i) in links) == brute_components(list(range(30)), lambda i, j: near_copies.similar(sets[i], sets[j]))
+
+
+def test_long_sets_take_bounded_memory():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[i * 20 :], r.integers(0, 1 << 64, 50, dtype=np.uint64)]) for i in range(100)]
+    tracemalloc.start()
+    try:
+        a, _ = near_copies.similar_ones(sets)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(a) == 99
+    assert most < 2.5 * sum(x.nbytes for x in sets)
+
+
+def test_blocks_by_texts_and_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", 4)
+    monkeypatch.setattr(near_copies, "WEIGHT", 1000)
+    rows = [(1, 10)] * 3 + [(2, 10)] * 9 + [(3, 900)] * 3
+    assert {tuple(x) for x in near_copies.blocks(spark.createDataFrame(rows, "group bigint, n int")).collect()} == {(1, 1), (2, 3), (3, 3)}
+    texts = near_texts(4, 1, 40)
+    monkeypatch.setattr(near_copies, "WEIGHT", 60)
+    want = brute_components(list(range(len(texts))), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_cells_cut_by_batches():
     r = random.Random(5)
     rows = sorted((r.randint(0, 12), r.randint(0, 9)) for _ in range(80))

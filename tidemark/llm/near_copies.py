@@ -10,8 +10,8 @@ So every similar pair passes in the cell of its first shared shingle, whatever t
 Pairs never leave a cell as rows. Where a cell has pairs beside one partner for each text, the texts' counts of shingles
 by BUCKETS slots come to it, pairs that cannot share enough are discarded, and a spanning forest of the rest leaves
 the task: fewer rows than texts. So similar texts are of one component of these edges. The texts of a component then
-meet in one task (or in each two blocks of PART texts, if they are more), where all pairs are verified on the
-shingle sets, and again only a forest leaves. With closest, texts whose SimHash fingerprints of these shingles are
+meet in one task (or in each two blocks of PART texts or WEIGHT shingles, if they are more), where all pairs are
+verified on the shingle sets, one range of hashes after the other, and again only a forest leaves. With closest, texts whose SimHash fingerprints of these shingles are
 linked by the pivot tables of simhash.py are candidates too.
 
 Defined results: texts equal up to case and white space are one node; a null text has no words, and texts
@@ -45,8 +45,10 @@ BUCKETS = 256
 BLOCK = 1024
 #: Pairs whose slots are compared at once, and shingles whose sets are.
 PAIRS, COLUMNS = 4096, 4096
-#: Texts of a block; a group of more is compared in each two of its blocks.
-PART = 512
+#: Texts of a block, and shingles of it; a group of more is compared in each two of its blocks.
+PART, WEIGHT = 512, 1 << 21
+#: Shingles of all sets of two blocks that are numbered at once.
+RANGE = 1 << 18
 #: Slots of the bitmap of wanted nodes (8 MB).
 BITS = 1 << 26
 ODDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -259,30 +261,39 @@ def similar_ones(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         linked = [(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])]
         return simhash.forest(len(sets), np.array([i for i, _ in linked], dtype=int), np.array([j for _, j in linked], dtype=int))
     n = np.array([len(x) for x in sets])
-    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # shingles of one set only are in no intersection; the others are numbered anew
-    place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
-    of = np.repeat(np.arange(len(sets)), n)[place >= 0]
-    place = place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    of, place = of[order], place[order]
+    # what sets share in one range of hashes adds to what they share in the others
+    parts = -(-int(n.sum()) // RANGE)
+    ends = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
+    cuts = np.array([[0, *np.searchsorted(x, ends), len(x)] for x in sets])
     both = np.zeros((len(sets), len(sets)), dtype=np.int32)
-    for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
-        lo, hi = np.searchsorted(place, [first, first + COLUMNS])
-        held = np.zeros((len(sets), min(COLUMNS, int(place[hi - 1]) + 1 - first)), dtype=np.float32)
-        held[of[lo:hi], place[lo:hi] - first] = 1
-        both += (held @ held.T).astype(np.int32)
+    for lows, highs in zip(cuts.T[:-1], cuts.T[1:]):
+        _, at, often = np.unique(np.concatenate([x[lo:hi] for x, lo, hi in zip(sets, lows, highs)]), return_inverse=True, return_counts=True)
+        # shingles of one set only are in no intersection; the others are numbered anew
+        place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
+        of = np.repeat(np.arange(len(sets)), highs - lows)[place >= 0]
+        place = place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        of, place = of[order], place[order]
+        for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            lo, hi = np.searchsorted(place, [first, first + COLUMNS])
+            held = np.zeros((len(sets), min(COLUMNS, int(place[hi - 1]) + 1 - first)), dtype=np.float32)
+            held[of[lo:hi], place[lo:hi] - first] = 1
+            both += (held @ held.T).astype(np.int32)
     return simhash.forest(len(sets), *np.nonzero(np.triu(9 * both.astype(np.int64) >= 4 * (n[:, None] + n[None, :]), 1)))
 
 
+def blocks(each: DataFrame) -> DataFrame:
+    """(group, blocks) of rows (group, n): how many blocks of at most about PART texts and WEIGHT shingles it takes."""
+    return each.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / WEIGHT)).cast("int").alias("blocks"))
+
+
 def linked(edges: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(a, b) nodes, such that the components are those of all similar pairs. Similar nodes are of one component of
     edges; the texts of such a component meet in one task, or, if they are many, each two blocks of them do."""
     groups = connected_components(edges).select(F.col("node").alias("of"), F.col("root").alias("group"))
-    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("blocks"))
     # one of the texts that are equal up to case and white space stands for its node
-    each = signed.groupBy("node").agg(F.min("raw").alias("raw"))
-    each = written(each.join(groups, each["node"] == groups["of"]).join(sizes, "group").select("raw", "node", "group", "blocks"), "grouped")
+    each = signed.groupBy("node").agg(F.min("raw").alias("raw"), F.max("n").alias("n"))
+    each = written(each.join(groups, each["node"] == groups["of"]).select("raw", "node", "group", "n"), "grouped")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -297,28 +308,33 @@ def linked(edges: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str)
     texts = texts.mapInArrow(once, "node bigint, text string").select(F.col("node").alias("is"), normal("text").alias("text"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = each.select("raw", "node", "group", own.alias("own"), other.alias("other")).select("raw", "node", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = each.join(blocks(each), "group").select("raw", "node", "group", own.alias("own"), other.alias("other")).select("raw", "node", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = texts.join(dealt, texts["is"] == dealt["raw"]).select("group", "i", "j", "node", "text")
 
-    def run(batches: Iterable[Columns]) -> Iterator[Columns]:
+    answer = T.StructType.fromDDL("a bigint, b bigint")
+    arrow = to_arrow_schema(answer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, {}
 
-        def told() -> Columns:
-            nodes = list(held)
-            a, b = similar_ones(list(held.values())) if len(nodes) > 1 else ([], [])
-            return {"a": [nodes[i] for i in a], "b": [nodes[i] for i in b]}
+        def told() -> pa.RecordBatch:
+            nodes = np.array(list(held), dtype=np.int64)
+            a, b = similar_ones(list(held.values()))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], schema=arrow)
 
         for rows in batches:
-            for g, i, j, v, t in zip(*rows.values()):
+            # the texts leave Arrow one by one
+            for k, (g, i, j, v) in enumerate(zip(*(rows.column(c).to_pylist() for c in range(4)))):
                 if (g, i, j) != part:
                     if len(held) > 1:
                         yield told()
                     part, held = (g, i, j), {}
                 if v not in held:
-                    held[v] = shingles(t)
-        yield told()
+                    held[v] = shingles(rows.column(4)[k].as_py())
+        if len(held) > 1:
+            yield told()
 
-    out = written(arrow_rows(dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j"), run, "a bigint, b bigint"), "links")
+    out = written(dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, answer), "links")
     dropped(each)
     return out
 
