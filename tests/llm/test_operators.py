@@ -7,8 +7,10 @@ import re
 import time
 import tracemalloc
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -829,6 +831,63 @@ def test_blocks_by_texts_and_shingles(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_long_texts_that_differ_are_no_candidates(spark, monkeypatch):
+    r = random.Random(13)
+    # a tenth of the words is shared, so many cells hold pairs that pass; 9,000 shingles fill 256 slots alike
+    passage = [f"p{i}" for i in range(900)]
+    texts = [" ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(8100)]) for _ in range(4)]
+    texts.append(texts[0] + " end")
+    linked, seen = near_copies.linked, []
+
+    def counted(edges, *rest):
+        seen.append(edges.distinct().count())
+        return linked(edges, *rest)
+
+    monkeypatch.setattr(near_copies, "linked", counted)
+    got = near_copies.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    assert seen == [1]
+
+
+def test_slots_discard_no_similar_pair():
+    r = np.random.default_rng(14)
+    for n in (1, 5, 300, 2047, 2049, 9000, 20_000):
+        for changed in (0.0, 0.05, 0.1, 0.3):
+            a = r.integers(0, 1 << 64, n, dtype=np.uint64)
+            b = np.unique(np.where(r.random(n) < changed, r.integers(0, 1 << 64, n, dtype=np.uint64), a)[: max(1, round(n * 0.97))])
+            a = np.unique(a)
+            x, y = near_copies.slots(a), near_copies.slots(b)
+            width = 2 * min(len(x), len(y))
+            least = near_copies.differing(near_copies.counted(x, 1, width), near_copies.counted(y, 1, width))[0]
+            assert least <= len(np.setxor1d(a, b))
+            assert 9 * least <= len(a) + len(b) or not near_copies.similar(a, b)
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 40])
+def test_packed_cells_against_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(near_copies, "SORTED", at_once)
+    monkeypatch.setattr(near_copies, "KEYS", 50)
+    r = random.Random(15)
+    few = [r.randrange(1 << 64) for _ in range(60)] + [r.randrange(1 << 24) for _ in range(3)]  # the last have one key
+    rows = [(v, r.randint(1, 99), r.sample(few, r.randint(1, 9))) for v in (r.randrange(-(1 << 63), 1 << 63) for _ in range(90))]
+    rows += rows[:7]  # equal texts of other tasks
+    want = defaultdict(dict)
+    for v, n, found in rows:
+        for pos, k in enumerate(found):
+            want[k >> 24].setdefault(v, (n, pos))
+    places = {(k, v, n, pos) for k, of in want.items() if len(of) > 1 for v, (n, pos) in of.items()}
+    df = spark.createDataFrame([(v, n, bytearray(near_copies.keys(np.array(f, dtype=np.uint64)))) for v, n, f in rows], "node bigint, n int, firsts binary")
+    got = [tuple(x) for x in near_copies.cells(df.repartition(3)).select("k", "node", "n", "pos").collect()]
+    assert len(got) == len(set(got)) and set(got) == places
+
+
+def test_counted_words():
+    r = random.Random(16)
+    texts = ["".join(r.choice("ab é\t\n\x0b  \x1c\x85") for _ in range(r.randint(0, 12))) for _ in range(300)]
+    want = [len(re.findall(r"[^ \t\n\x0b\f\r]+", t)) for t in texts]
+    assert packing.counted_words(pa.array(["x y", *texts]).slice(1)).tolist() == want
+
+
 def test_cells_cut_by_batches():
     r = random.Random(5)
     rows = sorted((r.randint(0, 12), r.randint(0, 9)) for _ in range(80))

@@ -3,12 +3,13 @@
 A text is the set of its 5-word shingles, lower-cased and with any white space as one. All shingles have one order:
 those that are frequent in a sample of the texts come last, the others by their hash. The order moves work, not
 results. Two sets of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 shingles of either (n: its
-size), so texts that share such a shingle meet in its cell. Two filters discard pairs there, neither a similar one:
+size), so texts that share such a shingle meet in its cell. Shingles travel there as KEY bytes of their hash, packed by
+ranges of keys; what a cell of two shingles holds too much costs work only. Two filters discard pairs there, neither a similar one:
 the sizes differ too much, or, if the cell's shingle is the first one the pair shares, too few are left behind it.
 So every similar pair passes in the cell of its first shared shingle, whatever the cell's size.
 
 Pairs never leave a cell as rows. Where a cell has pairs beside one partner for each text, the texts' counts of shingles
-by BUCKETS slots come to it, pairs that cannot share enough are discarded, and a spanning forest of the rest leaves
+by slots come to it, the more slots the longer the text, pairs that differ by too many are discarded, and a spanning forest of the rest leaves
 the task: fewer rows than texts. So similar texts are of one component of these edges. The texts of a component then
 meet in one task (or in each two blocks of PART texts or WEIGHT shingles, if they are more), where all pairs are
 verified on the shingle sets, one range of hashes after the other, and again only a forest leaves. With closest, texts whose SimHash fingerprints of these shingles are
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +41,18 @@ SHINGLE = 5
 SEED = 42
 #: Texts of the sample that tells frequent shingles, and the most of these that are told.
 SAMPLE, FREQUENT = 4000, 1 << 16
-#: Slots of a text's shingle counts; a set in which one holds more than 255 has none and is not discarded by them.
-BUCKETS = 256
+#: Least slots of a text's shingle counts, and the shingles a slot holds in the mean before there are twice as many slots.
+BUCKETS, MEAN = 256, 8
+#: Bytes of a shingle's key, keys of a part of them, and keys that are sorted into parts at once.
+KEY, KEYS, SORTED = 5, 1 << 17, 1 << 18
+#: Marks of the frequent shingles, by the first bits of their hashes.
+MARKS = 20
 #: Rows and columns of a block of comparisons.
 BLOCK = 1024
 #: Pairs whose slots are compared at once, and shingles whose sets are.
 PAIRS, COLUMNS = 4096, 4096
+#: Texts of a cell that is compared together with others of its size.
+SMALL = 32
 #: Texts of a block, and shingles of it; a group of more is compared in each two of its blocks.
 PART, WEIGHT = 512, 1 << 21
 #: Shingles of all sets of two blocks that are numbered at once.
@@ -63,13 +71,17 @@ def raw(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def node(text_col: str) -> Column:
-    return F.xxhash64(normal(text_col))
+def lowered(text_col: str) -> Column:
+    """A text whose words between white space (Java's, which is that of bytes) are those of the normal text."""
+    return F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a normal text's shingles."""
-    words = text.encode("utf-8", "replace").split()
+def shingles(text: str | bytes) -> np.ndarray:
+    """Sorted distinct hashes of a normal or lowered text's shingles."""
+    return of_words((text.encode("utf-8", "replace") if isinstance(text, str) else text).split())
+
+
+def of_words(words: list[bytes]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     if len(words) < SHINGLE:
         return np.array([h(b" ".join(words), SEED)], dtype=np.uint64)
@@ -79,7 +91,8 @@ def shingles(text: str) -> np.ndarray:
     for j in range(1, SHINGLE):
         x = (x ^ (x >> np.uint64(29))) * ODDS[j] + each[j : n + j] * ODDS[(j + 1) % SHINGLE]
     x = (x ^ (x >> np.uint64(32))) * ODDS[0]
-    return np.unique(x ^ (x >> np.uint64(29)))
+    x = np.sort(x ^ (x >> np.uint64(29)))
+    return x[np.r_[True, x[1:] != x[:-1]]]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -95,18 +108,59 @@ def passing(n_a: np.ndarray, left_a: np.ndarray, n_b: np.ndarray, left_b: np.nda
     return both & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
 
 
-def first_ones(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def marked(frequent: np.ndarray) -> np.ndarray:
+    """Where a frequent shingle may be, by the first bits of its hash."""
+    marks = np.zeros(1 << MARKS, dtype=bool)
+    marks[(frequent >> np.uint64(64 - MARKS)).astype(np.int64)] = True
+    return marks
+
+
+def first_ones(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The shingles of a set that a similar one must share one of, in the order of all."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        often = np.where(frequent[at] == found, counts[at], 0)
-        found = found[np.argsort(often, kind="stable")]
-    return found[: len(found) - (4 * len(found) + 4) // 5 + 1]
+    most = len(found) - (4 * len(found) + 4) // 5 + 1
+    at = np.flatnonzero(marks[(found >> np.uint64(64 - MARKS)).astype(np.int64)])
+    if len(at):
+        place = np.minimum(np.searchsorted(frequent, found[at]), len(frequent) - 1)
+        hit = frequent[place] == found[at]
+        at, place = at[hit], place[hit]
+        found = np.r_[np.delete(found, at), found[at[np.argsort(counts[place], kind="stable")]]]
+    return found[:most]
+
+
+def slots(found: np.ndarray) -> bytes:
+    """Counts of a set's shingles by slots, modulo 16, two in a byte."""
+    width = max(BUCKETS, 1 << (len(found) // MEAN).bit_length())
+    counts = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8)
+    return ((counts[::2] & 15) | (counts[1::2] << 4)).tobytes()
+
+
+def counted(told: bytes, sets: int, width: int) -> np.ndarray:
+    """Counts of so many sets by so many slots, at most those that were told: further ones are added to the first."""
+    each = np.frombuffer(told, np.uint8).reshape(sets, -1) if sets else np.empty((0, width // 2), np.uint8)
+    counts = np.stack([each & 15, each >> 4], axis=2).reshape(sets, each.shape[1] * 2 // width, width)
+    return counts.sum(axis=1, dtype=np.uint8) & 15
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles are in one set only, at least. In similar sets they are a ninth of both at most."""
+    d = (a - b) & 15
+    return np.minimum(d, 16 - d).sum(axis=-1, dtype=np.int64)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, those of one place together: what is alike in them is compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
 
 
-def slots(found: np.ndarray) -> bytes | None:
-    counts = np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+def whole(told: Iterable[bytes], width: int) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8).reshape(width, -1) for x in told]
+    out = np.zeros((sum(p.shape[1] for p in parts), 8), dtype=np.uint8)
+    np.concatenate([p.T for p in parts], out=out[:, :width])
+    return out.view(np.int64).ravel()
+
+
+def keys(found: np.ndarray) -> bytes:
+    return np.ascontiguousarray((found >> np.uint64(64 - 8 * KEY)).view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
 
 
 def by_arrays(df: DataFrame, fn: Callable[[Iterator[dict[str, np.ndarray]]], Iterable[dict[str, np.ndarray]]], schema: str) -> DataFrame:
@@ -146,6 +200,68 @@ def whole_cells(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[tuple[dict
         yield told({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
+def cells(signed: DataFrame) -> DataFrame:
+    """(k, node, n, pos) of the texts of each cell that has more than one."""
+    parts = max(1, -(-(signed.select(F.sum(F.length("firsts"))).first()[0] or 0) // (KEY * KEYS)))
+    packed = T.StructType.fromDDL("part int, k binary, node binary, n binary, pos binary")
+    packed_arrow = to_arrow_schema(packed)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            size = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // KEY
+            ends = np.cumsum(size)
+            start = 0
+            while start < len(nodes):
+                done = ends[start] - size[start]
+                stop = max(start + 1, int(np.searchsorted(ends, done + SORTED, side="right")))
+                told = np.frombuffer(b"".join(b.column(2).slice(start, stop - start).to_pylist()), np.uint8).reshape(-1, KEY)
+                k = np.zeros((len(told), 8), dtype=np.uint8)
+                k[:, :KEY] = told
+                k = k.view(np.int64).ravel()
+                of = np.repeat(np.arange(start, stop), size[start:stop])
+                pos = np.arange(len(k)) - (ends - size)[of] + done
+                order = np.argsort(k)
+                k, of, pos = k[order], of[order], pos[order].astype(np.int32)
+                part = k.view(np.uint64) * np.uint64(parts) >> np.uint64(8 * KEY)
+                cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(k)].tolist()
+                node, many = nodes[of], n[of]
+                each = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:])]
+                cols = [part[cuts[:-1]].astype(np.int32), *([planes(x[c], w) for c in each] for x, w in ((k, KEY), (node, 8), (many, 4), (pos, 4)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, packed_arrow)], schema=packed_arrow)
+                start = stop
+
+    schema = T.StructType.fromDDL("k bigint, node bigint, n int, pos int")
+    arrow = to_arrow_schema(schema)
+
+    def shared(held: list[list[bytes]]) -> pa.RecordBatch:
+        k, node, n, pos = (whole(x, w) for x, w in zip(zip(*held), (KEY, 8, 4, 4)))
+        order = np.argsort(k)
+        same = k[order[1:]] == k[order[:-1]]
+        at = order[np.r_[False, same] | np.r_[same, False]]
+        at = at[np.lexsort((pos[at], node[at], k[at]))]
+        # of equal texts, and of two shingles of a text with one key, the first stands
+        at = at[np.r_[True, (k[at][1:] != k[at][:-1]) | (node[at][1:] != node[at][:-1])]] if len(at) else at
+        same = k[at][1:] == k[at][:-1]
+        at = at[np.r_[False, same] | np.r_[same, False]] if len(at) else at
+        return pa.RecordBatch.from_arrays([pa.array(x[at], f.type) for x, f in zip((k, node, n.astype(np.int32), pos.astype(np.int32)), arrow)], schema=arrow)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for b in batches:
+            for i, p in enumerate(b.column(0).to_pylist()):
+                if p != part:
+                    if held:
+                        yield shared(held)
+                    part, held = p, []
+                held.append([b.column(c)[i].as_py() for c in range(1, 5)])
+        if held:
+            yield shared(held)
+
+    dealt = signed.select("node", "n", "firsts").mapInArrow(pack, packed).repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, schema)
+
+
 def partners(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
     """First round: of each text of a cell that passes with another, the first such text before it (or itself), and
     whether its cell holds pairs beside these."""
@@ -187,10 +303,38 @@ def partners(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.
 def together(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
     """Of each cell a spanning forest of the pairs that pass and that the slots do not discard: fewer rows than texts."""
     for rows, starts in whole_cells(batches):
-        n, left, nodes = rows["n"], rows["n"] - rows["pos"], rows["node"]
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            none = np.array([x is None for x in rows["slots"][s:e]])
-            counts = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in rows["slots"][s:e]), np.uint8).reshape(-1, BUCKETS)
+        n, left, nodes, told = rows["n"], rows["n"] - rows["pos"], rows["node"], rows["slots"]
+        width = np.array([2 * len(x) for x in told])
+        # sets that pass have as many slots as each other, or one has twice as many
+        counts, place = {}, np.zeros((2, len(n)), dtype=int)
+        for w in set(width.tolist()):
+            some = [np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)]
+            place[0][some[0]] = np.arange(len(some[0]))
+            place[1][some[1]] = np.arange(len(some[1])) + len(some[0])
+            counts[w] = np.concatenate([counted(b"".join(told[x]), len(x), w) for x in some])
+
+        def may(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            least, out = np.minimum(width[u], width[v]), np.zeros(len(u), dtype=bool)
+            for w in set(least.tolist()):
+                p = np.flatnonzero(least == w)
+                a, b = (place[(width[x[p]] > w).astype(int), x[p]] for x in (u, v))
+                for c in range(0, len(p), step := max(1, PAIRS * BUCKETS // w)):
+                    q = p[c : c + step]
+                    out[q] = 9 * differing(counts[w][a[c : c + step]], counts[w][b[c : c + step]]) <= n[u[q]] + n[v[q]]
+            return out
+
+        size = np.diff(starts)
+        at, to = np.empty(0, dtype=int), np.empty(0, dtype=int)
+        for m in set(size[size <= SMALL].tolist()):
+            x, y = ((starts[:-1][size == m][:, None] + i).ravel() for i in np.triu_indices(m, 1))
+            ok = passing(n[x], left[x], n[y], left[y])
+            x, y = x[ok], y[ok]
+            ok = may(x, y)
+            at, to = np.r_[at, x[ok]], np.r_[to, y[ok]]
+        if len(at):
+            at, to = simhash.forest(len(n), at, to)
+            yield {"a": nodes[at], "b": nodes[to]}
+        for s, e in zip(starts[:-1][size > SMALL].tolist(), starts[1:][size > SMALL].tolist()):
             label, at, to = np.arange(e - s), np.empty(0, dtype=int), np.empty(0, dtype=int)
             for i in range(s, e, BLOCK):
                 for j in range(i, e, BLOCK):
@@ -201,10 +345,9 @@ def together(batches: Iterable[dict[str, np.ndarray]]) -> Iterator[dict[str, np.
                         u, v = x[c : c + PAIRS] + i - s, y[c : c + PAIRS] + j - s
                         apart = label[u] != label[v]
                         u, v = u[apart], v[apart]
-                        both = np.minimum(counts[u], counts[v]).sum(axis=1, dtype=np.int64)
-                        may = none[u] | none[v] | (9 * both >= 4 * (n[s + u] + n[s + v]))
-                        if may.any():
-                            at, to = simhash.forest(e - s, np.r_[at, u[may]], np.r_[to, v[may]])
+                        ok = may(s + u, s + v)
+                        if ok.any():
+                            at, to = simhash.forest(e - s, np.r_[at, u[ok]], np.r_[to, v[ok]])
                             label = np.arange(e - s)
                             label[at] = to
             if len(at):
@@ -229,7 +372,7 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nd
             for t in b["text"]:
                 yield {"k": shingles(t).view(np.int64)}
 
-    part = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=SEED).select(normal(text_col).alias("text"))
+    part = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=SEED).select(lowered(text_col).alias("text"))
     told = arrow_rows(part, run, "k bigint").groupBy("k").count().where("count > 1").orderBy(F.desc("count"), "k").limit(FREQUENT).collect()
     found = np.array([r["k"] for r in told], dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -244,8 +387,8 @@ def likely(pairs: DataFrame, counts: DataFrame) -> DataFrame:
             at = {c: i for i, c in enumerate(b.schema.names)}
             stay = []
             for n_a, n_b, x, y in zip(*(b.column(at[c]).to_pylist() for c in ("a_n", "b_n", "a_slots", "b_slots"))):
-                both = min(n_a, n_b) if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
-                stay.append(9 * both >= 4 * (n_a + n_b))
+                width = 2 * min(len(x), len(y))
+                stay.append(bool(9 * differing(counted(x, 1, width), counted(y, 1, width))[0] <= n_a + n_b))
             yield b.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
     def side(end: str) -> DataFrame:
@@ -344,22 +487,29 @@ def roots(docs: DataFrame, text_col: str = "text", closest: bool = False) -> Dat
     frequent, counts = frequent_shingles(docs, text_col)
 
     def run(batches: Iterable[Columns]) -> Iterator[Columns]:
+        marks = marked(frequent)
         for b in batches:
-            one = {r: (v, t) for r, v, t in zip(b["raw"], b["node"], b["text"])}
-            found = [shingles(t) for _, t in one.values()]
+            found, nodes = [], []
+            one = dict(zip(b["raw"], b["text"]))
+            for t in one.values():
+                words = t.split()
+                found.append(of_words(words))
+                nodes.append(simhash.signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)))
             yield {
                 "raw": list(one),
-                "node": [v for v, _ in one.values()],
+                "node": nodes,
                 "n": [len(f) for f in found],
-                "firsts": [first_ones(f, frequent, counts).view(np.int64) for f in found],
+                "firsts": [keys(first_ones(f, frequent, counts, marks)) for f in found],
                 "slots": [slots(f) for f in found],
                 "fp": [simhash.signed(simhash.majority(f)) if closest else 0 for f in found],
             }
 
-    signed = arrow_rows(docs.select(raw(text_col).alias("raw"), node(text_col).alias("node"), normal(text_col).alias("text")), run, "raw bigint, node bigint, n int, firsts array<bigint>, slots binary, fp bigint")
+    signed = arrow_rows(docs.select(raw(text_col).alias("raw"), lowered(text_col).alias("text")), run, "raw bigint, node bigint, n int, firsts binary, slots binary, fp bigint")
     signed = written(signed, "signatures")
-    cells = signed.select("node", "n", F.posexplode("firsts").alias("pos", "k")).select("k", "node", "n", "pos")
-    met = written(by_arrays(cells.repartition("k").sortWithinPartitions("k", "node"), partners, "k bigint, node bigint, n int, pos int, other bigint, more boolean"), "met")
+    # a stage of its own: two functions in a task take two workers
+    shared = written(cells(signed), "cells")
+    met = written(by_arrays(shared.repartition("k").sortWithinPartitions("k", "node"), partners, "k bigint, node bigint, n int, pos int, other bigint, more boolean"), "met")
+    dropped(shared)
     pairs = met.where("node <> other and not more").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     if closest:
         fps = signed.select("node", "fp").distinct()
@@ -372,8 +522,8 @@ def roots(docs: DataFrame, text_col: str = "text", closest: bool = False) -> Dat
     open_cells = met.where("more").select("k", "node", "n", "pos")
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(open_cells.select("node"))
     slotted = written(among(signed.select("node", "n", "slots"), wanted).dropDuplicates(["node"]), "slots")
-    cells = open_cells.join(slotted.select(F.col("node").alias("of"), "slots"), F.col("node") == F.col("of")).select("k", "node", "n", "pos", "slots")
-    forests = by_arrays(cells.repartition("k").sortWithinPartitions("k", "node"), together, "a bigint, b bigint")
+    open_cells = open_cells.join(slotted.select(F.col("node").alias("of"), "slots"), F.col("node") == F.col("of")).select("k", "node", "n", "pos", "slots")
+    forests = by_arrays(open_cells.repartition("k").sortWithinPartitions("k", "node"), together, "a bigint, b bigint")
     edges = written(likely(pairs, slotted).unionAll(forests), "candidates")
     found = connected_components(linked(edges, signed, docs, text_col)).select(F.col("node").alias("of"), "root")
     each = signed.select("raw", "node").distinct()
